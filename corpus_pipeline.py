@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packrel.llm import exact_dedup, mixing, packing
+from packrel.llm import exact_dedup, mixing, packing, simhash
 from packrel.llm.common import materialize, table
 from packrel.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS
 
@@ -14,6 +14,11 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return simhash.drop_near_copies(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs, share=0.6, domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS)
 
@@ -22,7 +27,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("exact dedup", exact_dedup_stage), ("near dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: Toxicity, near-dedup and packing aren't expressible in SQL.
 ORACLE_SQL = None
