@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packrel.llm import exact_dedup, mixing, packing, simhash
+from packrel.llm import exact_dedup, mixing, packing, simhash, toxicity
 from packrel.llm.common import materialize, table
 from packrel.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 and more go."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_exact_copies(docs)
@@ -27,7 +32,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact_dedup_stage), ("near dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("exact dedup", exact_dedup_stage), ("near dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: Toxicity, near-dedup and packing aren't expressible in SQL.
 ORACLE_SQL = None
