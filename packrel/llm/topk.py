@@ -157,6 +157,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                 total = sum(share[at_q, at_c] for share in shares)
                 keep = total >= limit[at_q, 0]
                 at_q, at_c, total = at_q[keep], at_c[keep], total[keep]
+                if not len(at_q):
+                    continue
                 edges = np.flatnonzero(np.diff(at_q, prepend=-1))
                 for a, z in zip(edges, [*edges[1:], len(at_q)], strict=True):
                     best = _best(total[a:z].astype(float), c_ids[at_c[a:z]], k)
