@@ -1,0 +1 @@
+"""Archives as they arrive."""
