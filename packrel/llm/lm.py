@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Tokens and texts in a block; sweeps thrown away and sampled.
-BLOCK_TOKENS, BLOCK_DOCS, BURN_IN, SAMPLES, STRENGTH = 400_000, 2000, 1, 2, 1.0
+#: Tokens and texts in a block, and tokens numbered together; sweeps thrown away and sampled.
+BLOCK_TOKENS, BLOCK_DOCS, AT_ONCE, BURN_IN, SAMPLES, STRENGTH = 6_000_000, 20_000, 200_000, 1, 2, 1.0
 #: The end of a text, spelled as a byte that no word holds; the byte that ends a spelling.
 END, STOP, CLASSES, BYTES = b"\x0b", 10, 33, 256
 ORDER = 3
@@ -202,33 +202,60 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 [pa.array(np.full(n, block)) if x == "block" else given[x] if isinstance(given.get(x), pa.Array) else pa.array(given.get(x, [None] * n), t or id_type) for x, t in zip(names, types, strict=True)], names
             )
 
-        def flush(held):
-            nonlocal block
-            flat = [w for _, _, ws in held for w in ws]
-            distinct = list(dict.fromkeys(flat))
-            of = dict(zip(distinct, range(len(distinct)), strict=True))
+        # A block's texts are packed a batch at a time; only its vocabulary and counts are held.
+        of: dict[bytes, int] = {}
+        texts, counts, n = [], [], 0
+
+        def add(own):
+            nonlocal n
+            flat = [w for _, _, ws in own for w in ws]
+            for w in dict.fromkeys(flat):
+                if w not in of:
+                    of[w] = len(of)
             lids = np.fromiter(map(of.__getitem__, flat), np.int32, len(flat))
-            sizes = [len(ws) for _, _, ws in held]
-            learned = np.repeat([not h for _, h, _ in held], sizes)
-            c = np.bincount(lids[learned], minlength=len(distinct)).astype(np.int64)
-            for k in range(0, len(distinct), 10_000):
-                yield batch_of(lid=pa.array(np.arange(k, min(k + 10_000, len(distinct)), dtype=np.int32)), token=distinct[k : k + 10_000], c=pa.array(c[k : k + 10_000]))
+            sizes = [len(ws) for _, _, ws in own]
+            learned = np.repeat([not h for _, h, _ in own], sizes)
+            counts.append(np.bincount(lids[learned], minlength=len(of)))
+            if len(counts) > 16:  # sums of what was counted so far
+                counts[:] = [total_counts()]
             # Planes of bytes compress better than numbers.
             packed = [pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in np.split(lids, np.cumsum(sizes)[:-1])]
-            yield batch_of(doc_id=[i for i, _, _ in held], held=[h for _, h, _ in held], lids=packed)
+            texts.extend((i, h, x) for (i, h, _), x in zip(own, packed, strict=True))
+            n += len(flat)
+
+        def total_counts():
+            out = np.zeros(len(of), np.int64)
+            for c in counts:
+                out[: len(c)] += c
+            return out
+
+        def flush():
+            nonlocal block, n
+            distinct, c = list(of), total_counts()
+            for k in range(0, len(distinct), 10_000):
+                yield batch_of(lid=pa.array(np.arange(k, min(k + 10_000, len(distinct)), dtype=np.int32)), token=distinct[k : k + 10_000], c=pa.array(c[k : k + 10_000]))
+            for k in range(0, len(texts), 1000):
+                part = texts[k : k + 1000]
+                yield batch_of(doc_id=[i for i, _, _ in part], held=[h for _, h, _ in part], lids=[x for _, _, x in part])
             block += 1
+            of.clear(), texts.clear(), counts.clear()
+            n = 0
 
-        own, n = [], 0
+        own, waiting = [], 0
         for batch in batches:
             id_type = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own.append((doc_id, fold_of(doc_id) == 1, words(text.as_py())))
-                n += len(own[-1][2])
-                if n >= BLOCK_TOKENS or len(own) >= BLOCK_DOCS:
-                    yield from flush(own)
-                    own, n = [], 0
+                waiting += len(own[-1][2])
+                if waiting >= AT_ONCE:
+                    add(own)
+                    own, waiting = [], 0
+                if n >= BLOCK_TOKENS or len(texts) >= BLOCK_DOCS:
+                    yield from flush()
         if own:
-            yield from flush(own)
+            add(own)
+        if texts:
+            yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"block long, lid int, token binary, c long, doc_id {kind}, held boolean, lids binary")
 
