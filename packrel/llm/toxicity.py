@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 32_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 16_000_000
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 CHAR_BUCKETS, OOV_BUCKETS, VOCABULARY = 1024, 512, 20_000
@@ -199,7 +199,7 @@ def _index(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
     flat = list(chain.from_iterable(texts))
     distinct = list(dict.fromkeys(flat))
     of = dict(zip(distinct, range(len(distinct)), strict=True))
-    ids = np.fromiter(map(of.__getitem__, flat), np.int64, len(flat))
+    ids = np.fromiter(map(of.__getitem__, flat), np.int32, len(flat))
     return distinct, np.split(ids, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
 
 
@@ -207,10 +207,10 @@ def _windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, and the text that each is of."""
     starts = [windows_of(len(x)) for x in ids]
     owner = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
-    padded = [np.append(x, np.full(WINDOW - len(x), -1)) if len(x) < WINDOW else x for x in ids]
+    padded = [np.append(x, np.full(WINDOW - len(x), -1, np.int32)) if len(x) < WINDOW else x for x in ids]
     base = np.cumsum([0] + [len(x) for x in padded[:-1]])
     at = (np.concatenate([s + b for s, b in zip(starts, base, strict=True)]) if starts else np.zeros(0, np.int64))[:, None] + np.arange(WINDOW)
-    return (np.concatenate(padded) if padded else np.zeros(0, np.int64))[at], owner
+    return (np.concatenate(padded) if padded else np.zeros(0, np.int32))[at], owner
 
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
@@ -233,8 +233,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 10, seed: in
     if len(y) == 0 or y.min() == y.max() or not any(words(t) for t in texts):
         return Model({}, {}, False)
     rng = np.random.default_rng(seed)
-    cut = [words(t) for t in texts]
-    distinct, ids = _index(cut)
+    distinct, ids = _index([words(t) for t in texts])
     df, toxic = np.zeros(len(distinct)), np.zeros(len(distinct))
     for x, label in zip(ids, labels, strict=True):
         own = np.unique(x)
@@ -263,11 +262,12 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 10, seed: in
     of = np.repeat(np.arange(len(distinct)), sizes)
     word_ids = model.word_ids(distinct)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32) ** 0.5
+    size = max(16, min(256, len(y) // 16))  # small samples still make enough steps
     for epoch in range(epochs):
         if epoch in (2, 6):
             heat = model.logits(windows, model.inputs(distinct))
         chosen = np.array([a + int(heat[a:z].argmax()) for a, z in zip(first, [*first[1:], len(owner)], strict=True)])
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
+        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // size)):
             w = windows[chosen[batch]]
             used = np.unique(w[w >= 0])
             local = np.full(len(distinct) + 1, len(used))
