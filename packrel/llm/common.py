@@ -38,6 +38,15 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """The frame with names of our own, the new name of each column, and what gives the old ones back.
+
+    Whatever the caller's columns are called, they can't clash with ours.
+    """
+    names = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def lanes(spark: SparkSession) -> int:
     """How many ways a hot key is split; follows the number of shuffle partitions."""
     return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

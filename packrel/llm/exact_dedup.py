@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shielded
 
 #: Runs merged at a time, and the most runs (larger partition numbers share them).
 FAN_IN, MOST_RUNS = 64, 4096
@@ -87,8 +87,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .filter("__kept")
         .drop("__kept")
     )
-    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    found = docs.withColumn("__sha", sha).join(kept, F.col(id_col).eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha")))
-    once = found.filter("__times = 1").select(*docs.columns)
-    again = found.filter("__times > 1").dropDuplicates([id_col, "__sha"]).select(*docs.columns)
-    return once.unionByName(again)
+    own, names, back = shielded(docs)
+    sha = F.unhex(F.sha2(F.coalesce(F.col(names[text_col]), F.lit("")).cast("binary"), 256))
+    found = own.withColumn("__sha", sha).join(kept, F.col(names[id_col]).eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha")))
+    again = found.filter("__times > 1").dropDuplicates([names[id_col], "__sha"])
+    return found.filter("__times = 1").unionByName(again).select(*back)

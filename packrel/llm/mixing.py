@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shielded
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LEAF = ["domain", "lang", "source"]
@@ -131,5 +131,6 @@ def mix(
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of a mix of one epoch, whole, with the columns of ``docs``."""
     taken = mix(docs, max_epochs=1, **options).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("__k", key).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left_semi").drop("__k")
+    own, names, back = shielded(docs)
+    key = F.xxhash64(F.coalesce(F.col(names["text"]), F.lit("")))
+    return own.withColumn("__k", key).join(taken, F.col(names["doc_id"]).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left_semi").select(*back)

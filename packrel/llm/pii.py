@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lanes, materialize, spread_join
+from .common import lanes, materialize, shielded, spread_join
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
@@ -178,9 +178,8 @@ def entity_table(entities: DataFrame, key: str, rounds: int = 32) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with rewritten texts, and n_entities (mentions replaced)."""
-    own = {c: f"__c{k}" for k, c in enumerate(docs.columns)}  # no name of theirs can clash with ours
+    rows, own, back = shielded(docs)
     text = own[text_col]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
     rows = materialize(rows.withColumn("__m", F.regexp_extract_all(text, F.lit(PATTERN), 0)).withColumn("__row", F.monotonically_increasing_id()), "mentions")
     hit = F.size("__m") > 0
     said = rows.filter(hit).select("__row", F.posexplode("__m").alias("__at", "__said")).withColumn("kind", kind_of(F.col("__said")))
@@ -198,5 +197,5 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     rest = [n for n in own.values() if n != text]
     changed = rows.filter(hit).join(per_row, "__row").select(*rest, built.alias(text), F.col("__n").alias("__count"))
     same = rows.filter(~hit | F.col("__m").isNull()).select(*rest, text, F.lit(0).cast("long").alias("__count"))
-    return changed.unionByName(same).select(*[F.col(n).alias(c) for c, n in own.items()], F.col("__count").alias("n_entities"))
+    return changed.unionByName(same).select(*back, F.col("__count").alias("n_entities"))
 

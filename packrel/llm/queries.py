@@ -57,7 +57,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(table(spark, sf_dir, "documents"))
+    return simhash.near_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +125,12 @@ o AS (SELECT *, (sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY ke
 e AS (SELECT *, unnest(range(0, full_n + CASE WHEN before < rest THEN 1 ELSE 0 END))::BIGINT AS ep FROM o)"""
 
 
-OP6_SQL = mix_sql("documents", 0.5, 2) + """
+OP6_TAIL = """
 SELECT doc_id, domain, lang, source, ep::INTEGER AS epoch, tokens,
        CASE WHEN ep < full_n THEN tokens ELSE least(tokens, rest - before) END::BIGINT AS used_tokens, quota
 FROM e
 """
+OP6_SQL = mix_sql("documents", 0.5, 2) + OP6_TAIL
 
 
 def oracle_sql():

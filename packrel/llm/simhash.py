@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lanes, materialize, spread_join
+from .common import lanes, materialize, shielded, spread_join
 from .components import components
 
 HEAVY = 64
@@ -49,17 +49,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (a signed long of the same bits) of every row."""
+    """doc_id, fp (a signed long of the same bits) and text_key (a hash of the text) of every row."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")).mapInArrow(run, f"doc_id {kind}, fp long, text_key long")
 
 
 def _deleted(fp: Column, bits: list[int]) -> Column:
@@ -99,7 +99,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+    """Per row: doc_id, fingerprint (16 hexadecimal digits), component_id, text_key."""
     rows = materialize(fingerprints(docs, words, seed), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
@@ -107,13 +107,16 @@ def near_groups(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.select("fp", "root").join(groups, "root").select("fp", "component_id")
     lane = F.pmod(F.xxhash64("doc_id"), F.lit(lanes(docs.sparkSession)))
-    return spread_join(rows, "fp", found, lane).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(rows, "fp", found, lane).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, that of its least doc_id; columns of ``docs``.
 
-    Rows that repeat that doc_id all stay: they are the exact stage's to drop.
+    Rows are told apart by id and text.  Rows of a component that repeat its least doc_id all
+    stay: equal ones are the exact stage's to drop.
     """
-    gone = near_groups(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = near_groups(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"), "text_key").distinct()
+    own, names, back = shielded(docs)
+    own = own.withColumn("__key", F.xxhash64(F.coalesce(F.col(names["text"]), F.lit(""))))
+    return own.join(gone, F.col(names["doc_id"]).eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("text_key")), "left_anti").select(*back)

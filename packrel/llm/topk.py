@@ -84,6 +84,13 @@ class _Heap:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
 
+def _safe(score: int | None) -> float:
+    """A cutoff that rounding can't lift above the score; none where fewer than k are known."""
+    if score is None or score <= -(2**63):
+        return -np.inf
+    return float(score) if abs(score) < 2**53 else float(np.nextafter(float(score), -np.inf))
+
+
 def _tiles(batches, queries: np.ndarray, width: int):
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
@@ -140,7 +147,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
 
         gathered = rows.mapInArrow(local_lists, SCORED)
         cutoff = {r[0]: r[1] for r in whole(gathered, k).filter(F.col("rank") == k).select("query_id", "score").collect()}
-        low = np.array([cutoff.get(int(i), -(2**63)) for i in ids], float)
+        low = np.array([_safe(cutoff.get(int(i))) for i in ids], float)
         safe = spark.sparkContext.broadcast(low)
 
         def sufficient(batches):
@@ -161,7 +168,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                     continue
                 edges = np.flatnonzero(np.diff(at_q, prepend=-1))
                 for a, z in zip(edges, [*edges[1:], len(at_q)], strict=True):
-                    best = _best(total[a:z].astype(float), c_ids[at_c[a:z]], k)
+                    best = _best(total[a:z], c_ids[at_c[a:z]], k) if total.dtype != object else slice(None)
                     heap.offer(q0 + int(at_q[a]), total[a:z][best], c_ids[at_c[a:z]][best])
             yield heap.batch(query_ids)
 
