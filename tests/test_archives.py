@@ -146,7 +146,7 @@ def test_hostile_bytes():
 
 def test_names_that_are_not_utf8(spark, tmp_path):
     raw = io.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w", encoding="latin-1") as t:
+    with tarfile.open(fileobj=raw, mode="w", encoding="latin-1", format=tarfile.GNU_FORMAT) as t:
         t.addfile(tarfile.TarInfo("caf\xe9"))
     (tmp_path / "x.tar").write_bytes(raw.getvalue())
     r = api.verify_archives(spark, str(tmp_path / "x.tar")).first()
