@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packrel.config import CreationConfig, ExtractionOptions, SecurityConfig
+from packrel.functions.errors import error, raw_error
 from packrel.operators import reports, verify
 from packrel.sources.archive import read_archives
 from packrel.sources.writer import ArchiveError, CreationReport, ExtractionReport, Progress, create_archive, extract_archive
@@ -22,8 +23,8 @@ def list_archives(spark: SparkSession, path: str, config: SecurityConfig | None
     """
     config = config or SecurityConfig()
     found = reports.listing(read_archives(spark, path, budget=config.max_tar_metadata_bytes).withColumn("size", F.coalesce("size", F.lit(0).cast("decimal(20,0)"))), config)
-    scanned = F.struct(F.lit("INVALID_ARCHIVE").alias("code"), F.col("scan_error").alias("message"), F.col("scan_error").alias("issue"))
-    locked = F.struct(F.lit("SECURITY_VIOLATION").alias("code"), F.lit("operation denied by security policy: encrypted archives are not supported").alias("message"), F.lit("Security violation: encrypted archives are not supported").alias("issue"))
+    scanned = raw_error("INVALID_ARCHIVE", F.col("scan_error"), F.col("scan_error"))
+    locked = error("SECURITY_VIOLATION", F.lit("encrypted archives are not supported"))
     found = found.withColumn("error", F.when(F.col("scan_error").isNotNull(), scanned).when(F.col("encrypted"), locked).otherwise(F.col("error")))
     if strict and (bad := found.filter("error IS NOT NULL").orderBy("archive", "entry_idx").select("error").first()):
         raise ArchiveError(bad["error"]["code"], bad["error"]["message"])

@@ -1,4 +1,4 @@
-"""Errors as values: a struct of code, message and the text that an issue shows."""
+"""Errors as values: a struct of code, message and what an issue shows of it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packrel.schemas import RANK
 
-ERROR = "struct<code:string,message:string,issue:string>"
+ERROR = "struct<code:string,message:string,issue:string,severity:string,severity_rank:int,category:string>"
 #: code -> severity, category and kind of the issue it becomes.
 ISSUES = {
     "PATH_TRAVERSAL": ("Critical", "PathTraversal", "PathTraversal"),
@@ -52,10 +52,19 @@ def no_error() -> Column:
 
 def error(code: str, detail: Column, issue: Column | None = None) -> Column:
     before, issue_before = TEXTS.get(code, ("", ""))
+    return raw_error(code, F.concat(F.lit(before), detail), issue if issue is not None else F.concat(F.lit(issue_before), detail))
+
+
+def raw_error(code: str, message: Column, issue: Column) -> Column:
+    """An error whose texts are given whole."""
+    severity, category, _ = ISSUES[code]
     return F.struct(
         F.lit(code).alias("code"),
-        F.concat(F.lit(before), detail).alias("message"),
-        (issue if issue is not None else F.concat(F.lit(issue_before), detail)).alias("issue"),
+        message.alias("message"),
+        issue.alias("issue"),
+        F.lit(severity).alias("severity"),
+        F.lit(RANK[severity]).alias("severity_rank"),
+        F.lit(category).alias("category"),
     )
 
 
@@ -83,13 +92,6 @@ def kind_of(code: Column) -> Column:
     return _lookup(code, 2)
 
 
-def rank_of(severity: Column) -> Column:
-    out = None
-    for name, rank in RANK.items():
-        out = F.when(severity == name, rank) if out is None else out.when(severity == name, rank)
-    return out
-
-
 def is_security(code: Column) -> Column:
     return code.isin(SECURITY)
 
@@ -98,13 +100,11 @@ def is_recoverable(code: Column) -> Column:
     return code.isin(RECOVERABLE)
 
 
-def issue(severity: str | Column, category: str | Column, path: Column, message: Column, context: Column | None = None) -> Column:
-    s = F.lit(severity) if isinstance(severity, str) else severity
-    c = F.lit(category) if isinstance(category, str) else category
+def issue(severity: str, category: str, path: Column, message: Column, context: Column | None = None) -> Column:
     return F.struct(
-        s.alias("severity"),
-        rank_of(s).alias("severity_rank"),
-        c.alias("category"),
+        F.lit(severity).alias("severity"),
+        F.lit(RANK[severity]).alias("severity_rank"),
+        F.lit(category).alias("category"),
         path.alias("entry_path"),
         message.alias("message"),
         (context if context is not None else F.lit(None).cast("string")).alias("context"),
@@ -112,4 +112,7 @@ def issue(severity: str | Column, category: str | Column, path: Column, message:
 
 
 def issue_of_error(err: Column, path: Column) -> Column:
-    return F.when(err.isNotNull(), issue(severity_of(err["code"]), category_of(err["code"]), path, err["issue"]))
+    shown = F.struct(
+        err["severity"].alias("severity"), err["severity_rank"].alias("severity_rank"), err["category"].alias("category"), path.alias("entry_path"), err["issue"].alias("message"), F.lit(None).cast("string").alias("context")
+    )
+    return F.when(err.isNotNull(), shown)

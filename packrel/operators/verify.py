@@ -39,8 +39,12 @@ def checked(entries: DataFrame, config: SecurityConfig) -> DataFrame:
 
 def issues(entries: DataFrame, config: SecurityConfig) -> DataFrame:
     """One row an issue: archive, entry_idx, check_idx, severity, severity_rank, category, entry_path, message, context."""
+    return issues_of(checked(entries, config))
+
+
+def issues_of(checked_entries: DataFrame) -> DataFrame:
     both = F.concat("entry_issues", "heuristic_issues")
-    return checked(entries, config).select("archive", "entry_idx", F.posexplode(both).alias("check_idx", "i")).select("archive", "entry_idx", "check_idx", "i.*")
+    return checked_entries.select("archive", "entry_idx", F.posexplode(both).alias("check_idx", "i")).select("archive", "entry_idx", "check_idx", "i.*")
 
 
 def ordered(issues_frame: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def reports(entries: DataFrame, config: SecurityConfig, with_issues: bool = Fals
         "n_issues",
     )
     if with_issues:
-        rows = issues(entries, config).withColumn("o", F.struct((-F.col("severity_rank")).alias("r"), "entry_idx", "check_idx"))
+        rows = issues_of(e).withColumn("o", F.struct((-F.col("severity_rank")).alias("r"), "entry_idx", "check_idx"))
         packed = rows.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("o", F.struct("severity", "category", "entry_path", "message", "context").alias("i")))).alias("x"))
         out = out.join(packed.select("archive", F.col("x.i").alias("issues")), "archive", "left")
     return out

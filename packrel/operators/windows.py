@@ -39,16 +39,18 @@ def quota(entries: DataFrame, config: SecurityConfig, charged: Column | None = N
     """
     charged = F.lit(True) if charged is None else charged
     size = F.col("size").cast("decimal(20,0)")
-    counts = charged & (size <= config.max_file_size)
+    # Limits go as decimals: unsigned 64-bit ones don't fit a long.
+    most_file, most_total = F.lit(Decimal(config.max_file_size)), F.lit(Decimal(config.max_total_size))
+    counts = charged & (size <= most_file)
     totals = running_totals(entries, {"running_files": F.when(counts, 1).otherwise(0), "running_size": F.when(counts, size).otherwise(0)})
     text = lambda what, now, most: error("QUOTA_EXCEEDED", F.concat(F.lit(f"{what} ("), now.cast("string"), F.lit(f" > {most})")))
     return totals.withColumn("running_size", F.col("running_size").cast("decimal(38,0)")).withColumn(
         "quota_error",
         F.when(~charged, no_error())
-        .when(size > config.max_file_size, text("single file size", size, config.max_file_size))
+        .when(size > most_file, text("single file size", size, config.max_file_size))
         .when(F.col("running_size") > F.lit(Decimal(U64_MAX)), error("QUOTA_EXCEEDED", F.lit("integer overflow in quota tracking")))
         .when(F.col("running_files") > config.max_file_count, text("file count", F.col("running_files"), config.max_file_count))
-        .when(F.col("running_size") > config.max_total_size, text("total size", F.col("running_size"), config.max_total_size))
+        .when(F.col("running_size") > most_total, text("total size", F.col("running_size"), config.max_total_size))
         .otherwise(no_error()),
     )
 

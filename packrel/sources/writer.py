@@ -294,7 +294,7 @@ def extract_archive(
     solid = reports.solid_check(entries.filter("scan_error IS NULL"), config).filter("error IS NOT NULL").first()
     if solid:
         raise ArchiveError(solid["error"]["code"], solid["error"]["message"])
-    plan = reports.extraction_plan(entries.filter("scan_error IS NULL"), config)
+    plan = reports.extraction_plan(entries.filter("scan_error IS NULL"), config).persist()
     failed = first_errors(plan).first()
     below = P.parents(P.normalized(F.col("path")))
     links = plan.filter("action = 'symlink' AND error IS NULL").select(P.normalized(F.col("path")).alias("__up"), F.col("entry_idx").alias("__li"))
@@ -369,6 +369,7 @@ def extract_archive(
     finally:
         entries.unpersist()
         done.unpersist()
+        plan.unpersist()
         if options.atomic:
             shutil.rmtree(root, ignore_errors=True)
 

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,12 +79,10 @@ def test_configs_are_checked(bad):
 def entries(spark, rows):
     full = [{"archive": "a", "entry_type": "File", "size": 1, "compressed_size": None, "mode": None, "symlink_target": None, "hardlink_target": None} | r for r in rows]
     cols = ["archive", "entry_idx", "path", "entry_type", "size", "compressed_size", "mode", "symlink_target", "hardlink_target"]
-    return spark.createDataFrame([tuple(r[c] for c in cols) for r in full], "archive string, entry_idx long, path string, entry_type string, size decimal(20,0), compressed_size long, mode int, symlink_target string, hardlink_target string")
+    return spark.createDataFrame([tuple(Decimal(r[c]) if c == "size" else r[c] for c in cols) for r in full], "archive string, entry_idx long, path string, entry_type string, size decimal(20,0), compressed_size long, mode int, symlink_target string, hardlink_target string")
 
 
 def test_quota_and_blocks(spark):
-    from decimal import Decimal
-
     sizes = [5, 50, 5, 5, 2**64 - 1, 5]
     e = entries(spark, [{"entry_idx": k, "path": str(k), "size": Decimal(s)} for k, s in enumerate(sizes)])
     c = CONFIG.but(max_file_size=10, max_total_size=14, max_file_count=3)
