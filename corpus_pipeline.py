@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packrel.llm import exact_dedup, mixing, packing, simhash, toxicity
+from packrel.llm import exact_dedup, mixing, neardup, packing, toxicity
 from packrel.llm.common import materialize, table
 from packrel.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS
 
@@ -20,8 +20,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.drop_near_copies(docs)
+    """One document of each class of near copies stays: five-word shingles, a similarity of 0.8."""
+    return neardup.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
