@@ -100,6 +100,26 @@ def is_recoverable(code: Column) -> Column:
     return code.isin(RECOVERABLE)
 
 
+#: Errors whose path is the host's and not the archive's.
+HOST_PATHS = ["SOURCE_NOT_FOUND", "SOURCE_NOT_ACCESSIBLE", "OUTPUT_EXISTS", "UNKNOWN_FORMAT"]
+ENTRY_PATHS = ["PATH_TRAVERSAL", "SYMLINK_ESCAPE", "HARDLINK_ESCAPE", "INVALID_PERMISSIONS"]
+#: How a reason begins that an option of the caller could lift.
+RELAXABLE = ["symlinks not allowed", "hardlinks not allowed", "solid archives are not allowed", "banned path component:", "symlink target contains banned component:"]
+
+
+def redacted_path(code: Column, path: Column) -> Column:
+    """Entry paths as they are; of host paths the last name alone; null for errors without a path."""
+    return F.when(code.isin(HOST_PATHS), F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)).when(code.isin(ENTRY_PATHS), path)
+
+
+def is_relaxable(reason: Column) -> Column:
+    """By the beginning of the reason, which no archive can forge."""
+    out = F.lit(False)
+    for x in RELAXABLE:
+        out = out | F.startswith(reason, F.lit(x))
+    return out
+
+
 def issue(severity: str, category: str, path: Column, message: Column, context: Column | None = None) -> Column:
     return F.struct(
         F.lit(severity).alias("severity"),

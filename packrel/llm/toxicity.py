@@ -299,15 +299,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_doc
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
     own = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max(label_col).alias("__y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    # At most ``sample_docs`` rows are broadcast, and their texts collected.
-    found = docs.select(F.col("doc_id"), "text").join(F.broadcast(own), "doc_id")
-    rows, chars, taken = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).toLocalIterator(), 0, []
-    for r in rows:
-        chars += len(r["text"] or "")
-        if chars > sample_chars and taken:
-            break
-        taken.append((r["text"], int(r["__y"])))
-    return train([t for t, _ in taken], [y for _, y in taken])
+    # At most ``sample_docs`` rows are broadcast.  Lengths come first, so that no text is collected
+    # beyond ``sample_chars``.
+    found = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = [F.xxhash64("doc_id"), "doc_id", "__key"]
+    sizes = found.select("doc_id", "__key", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(*order).limit(sample_docs).collect()
+    room, chosen = sample_chars, set()
+    for r in sizes:
+        if r["n"] <= room:
+            room -= r["n"]
+            chosen.add((r["doc_id"], r["__key"]))
+    if not chosen:
+        return train([], [])
+    picked = docs.sparkSession.createDataFrame(sorted(chosen), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __key long")
+    taken = found.join(F.broadcast(picked), ["doc_id", "__key"]).dropDuplicates(["doc_id", "__key"]).orderBy(*order).select("text", "__y").collect()
+    return train([r["text"] for r in taken], [int(r["__y"]) for r in taken])
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

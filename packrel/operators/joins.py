@@ -57,7 +57,9 @@ def resolve_symlinks(entries: DataFrame, rounds: int = 40) -> DataFrame:
 
     now = links.withColumn("__s", settle(F.col("at"))).select("archive", "entry_idx", "path", F.array_join("__s.p", "/").alias("resolved"), (F.col("out") | ~F.col("__s.ok")).alias("escaped"))
     hops = now.groupBy("archive", P.normalized(F.col("path")).alias("__from")).agg(F.max(F.struct("entry_idx", "resolved", "escaped")).alias("__h"))
-    hops = hops.select("archive", "__from", F.col("__h.resolved").alias("__to"), F.col("__h.escaped").alias("__esc")).checkpoint() if entries.sparkSession.conf.get("spark.checkpoint.dir", None) else hops.select("archive", "__from", F.col("__h.resolved").alias("__to"), F.col("__h.escaped").alias("__esc")).cache()
+    hops = hops.select("archive", "__from", F.col("__h.resolved").alias("__to"), F.col("__h.escaped").alias("__esc"))
+    # Six self-joins read the hops; without a shared folder to cut the lineage they are kept instead.
+    hops = hops.checkpoint() if entries.sparkSession.conf.get("spark.checkpoint.dir", None) else hops.persist()
     # Doubling: after round r a hop stands for 2**r links, so a few rounds follow any chain.
     step, n = hops, 1
     while n < rounds:

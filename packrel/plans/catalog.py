@@ -362,6 +362,77 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("source_idx", "archive", "entry_idx", "path", "size")
 
 
+_HOST = "('SOURCE_NOT_FOUND', 'SOURCE_NOT_ACCESSIBLE', 'OUTPUT_EXISTS', 'UNKNOWN_FORMAT')"
+
+
+@query(f"""{WITH} SELECT entry_idx, code, CASE WHEN code IN {_HOST} THEN string_split(regexp_replace(path, '/+$', ''), '/')[-1] ELSE path END AS shown
+FROM (SELECT entry_idx, path, CASE WHEN entry_idx % 2 = 0 THEN 'OUTPUT_EXISTS' ELSE 'PATH_TRAVERSAL' END AS code FROM entries)""")
+def redacted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = entries_docs(spark, sf_dir).withColumn("code", F.when(F.col("entry_idx") % 2 == 0, "OUTPUT_EXISTS").otherwise("PATH_TRAVERSAL"))
+    return e.select("entry_idx", "code", E.redacted_path(F.col("code"), F.col("path")).alias("shown"))
+
+
+@query(f"{CHECKED_SQL} SELECT archive, entry_idx, CASE WHEN entry_type = 'File' AND mode & 73 <> 0 THEN 1 ELSE 0 END + CASE WHEN {EXT_SQL} IN ('exe', 'dll', 'sh', 'bat', 'cmd') THEN 1 ELSE 0 END AS n_heuristics FROM c")
+def heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = verify.checked(entries_docs(spark, sf_dir), LINKS)
+    return e.select("archive", "entry_idx", F.size("heuristic_issues").alias("n_heuristics"))
+
+
+@query(f"""{QUOTA_SQL}, l AS (SELECT q.archive, q.entry_idx, message, parts.path, parts.p, parts.entry_type, parts.symlink_target FROM qq q JOIN parts ON parts.entry_idx = q.entry_idx)
+SELECT archive, entry_idx, CASE WHEN message IS NOT NULL THEN 'QUOTA_EXCEEDED' WHEN list_contains(p, '..') OR starts_with(path, '/') THEN 'PATH_TRAVERSAL' WHEN entry_type = 'Symlink' AND symlink_target = '' THEN 'INVALID_ARCHIVE' END AS code FROM l""")
+def listing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.listing(entries_docs(spark, sf_dir), LOW).select("archive", "entry_idx", F.col("error.code").alias("code"))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN doc_id WHEN 1 THEN doc_id * 1024 WHEN 2 THEN doc_id * 1048576 WHEN 3 THEN doc_id * 1073741824 WHEN 4 THEN doc_id * 1099511627776 END::DECIMAL(20,0) AS n FROM documents")
+def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes as a command line takes them: plain, k, M, g, T, and one that isn't a size."""
+    unit = F.array(*[F.lit(x) for x in ("", "k", "M", " g", "T ", "X")])[(F.col("doc_id") % 6).cast("int")]
+    text = F.when(F.col("doc_id") % 6 == 3, F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit("g"))).otherwise(F.concat(F.col("doc_id").cast("string"), unit))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", U.parse_byte_size(text).alias("n"))
+
+
+_TRIP_SQL = "SELECT source AS archive, count(*) AS n, sum(strlen(text))::BIGINT AS total_size, count(*) AS same FROM documents GROUP BY source"
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """Writes an archive of each source's texts, one task each, and reads all of them back."""
+    import tempfile
+    import uuid
+
+    from packrel.sources.archive import read_archives
+    from packrel.sources.writer import create_archives
+
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='packrel-')).removeprefix('file://')}/trip-{uuid.uuid4().hex}"
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = d.select(
+        F.concat(F.lit(f"{folder}/"), "source", F.lit(f".{ext}")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("archive_path"), F.col("doc_id").alias("entry_idx"),
+        F.lit("File").alias("entry_type"), F.lit(0o644).alias("mode"), F.lit(None).cast("string").alias("symlink_target"), F.encode("text", "UTF-8").alias("content"),
+    )
+    spark.createDataFrame([(folder,)], "p string").foreach(_make_folder)
+    create_archives(rows).count()
+    back = read_archives(spark, folder, with_content=True).filter("scan_error IS NULL").select(F.regexp_extract("archive", r"([^/]*?)\.[^/]*$", 1).alias("archive"), "path", "size", "content")
+    want = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("w"))
+    both = back.join(want, "path", "left")
+    return both.groupBy("archive").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("total_size"), F.sum(F.when(F.col("content") == F.col("w"), 1).otherwise(0)).cast("long").alias("same"))
+
+
+def _make_folder(row) -> None:
+    import os
+
+    os.makedirs(row["p"], exist_ok=True)
+
+
+@query(_TRIP_SQL)
+def tar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, "tar.gz")
+
+
+@query(_TRIP_SQL)
+def zip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, "zip")
+
+
 @query(f"{_PLAN_SQL.replace('plan AS', 'plan0 AS')}, l AS (SELECT archive, array_to_string(p, '/') AS t, entry_idx AS li FROM parts WHERE entry_type = 'Symlink'), up AS (SELECT archive, entry_idx, unnest([array_to_string(p[1:n], '/') for n in range(1, len(p))]) AS t FROM parts) SELECT DISTINCT up.archive, up.entry_idx FROM up JOIN l ON up.archive = l.archive AND up.t = l.t AND li < up.entry_idx")
 def below_symlink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.below_symlink(entries_docs(spark, sf_dir)).select("archive", "entry_idx")
