@@ -1,19 +1,24 @@
 """Near copies by wide SimHash fingerprints and deletion-variant signatures.
 
 For documents of a Jaccard similarity of 0.8 over five-word shingles, two 64-bit fingerprints differ in
-ten bits or so, too many for few segments of one fingerprint.  Here a fingerprint has 256 bits (four
-mixes of each shingle's XXH64), of which nine segments of 26 bits are indexed under their variants
-with one bit deleted.  Documents that meet under an equal variant are verified on all 256 bits:
-the share of different bits estimates the angle between their shingle sets, so a similarity s
-becomes a largest distance of 256 * acos(2s / (1 + s)) / pi.
+ten bits or so, too many for few segments of one fingerprint.  Here a fingerprint has 512 bits (eight
+mixes of each shingle's XXH64), cut into 19 segments of 26 bits.  Texts meet where a segment differs in
+at most one bit, and are verified on all 512 bits: the share of different bits estimates the angle
+between their shingle sets, so a similarity s becomes a largest distance of
+512 * acos(2s / (1 + s)) / pi.  A pair is met with probability 0.79, 0.93, 0.99 and 1 at a similarity of
+0.8, 0.85, 0.9 and 0.95; a document of a larger group has as many chances as it has partners.
+
+The index works on distinct segment values.  Texts of an equal value are judged first and put into
+classes.  A one-wildcard variant stands for two values, and is named by the one whose bit is set: so a
+value asks for the names of its variants with unset bits, and is itself the name of the others.  Where
+such a name exists, the classes under the two values meet, each through its least text there, unless
+they are one class already.  A large group of near copies is thus one class a value and not met again.
 
 Segments are as long as they are so that chance meetings stay few: with n texts a text meets about
-n * 234 / 2**25 others by chance.  Larger corpora take longer segments (``width``).  A pair is met with
-probability 0.54, 0.72, 0.90 and 0.99 at a similarity of 0.8, 0.85, 0.9 and 0.95; a document of
-a larger group has as many chances as it has partners.
+n * 513 / 2**26 others by chance.  Larger corpora take longer segments (``width``).
 
 Buckets of up to ``SMALL`` texts are paired.  In larger ones every text is compared with leaders, the
-first 1, 4, 16, ... of those left over; whoever resembles a leader is linked to it and is done.  A
+first 1, 4, 16, ... of those left over; whoever resembles a leader is linked to the nearest and is done.  A
 group of copies thus costs a comparison each and not a pair for every two, nothing is capped,
 and the rounds grow with the logarithm of what is left.
 
@@ -33,20 +38,23 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shielded
 from .components import components
-from .simhash import AT_ONCE
 
-MIXES, SMALL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93), 16
+MIXES = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+BITS, SMALL = 64 * len(MIXES), 8
+#: Shingles whose bits are spread out at a time.
+AT_ONCE = 1 << 13
 
 
-def _mixed(h: np.ndarray, by: int) -> np.ndarray:
-    x = h ^ np.uint64(by)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """(shingles, mixes): the hash of each shingle under each mix."""
+    x = h[:, None] ^ MIXES
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """Four unsigned 64-bit words; zeros for a text without words."""
+    """An unsigned 64-bit word for each mix; zeros for a text without words."""
     import xxhash
 
     w = (text or "").encode().lower().split()
@@ -55,10 +63,9 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
     joined = [b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)] if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
     h = np.unique(np.fromiter((digest(s, 42) for s in joined), np.uint64, len(joined)))  # a set, as the similarity is one of sets
-    ones = np.zeros((len(MIXES), 64), np.int64)
+    ones = np.zeros(BITS, np.int64)
     for k in range(0, len(h), AT_ONCE):
-        for j, by in enumerate(MIXES):
-            ones[j] += np.unpackbits(_mixed(h[k : k + AT_ONCE], by).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(_mixed(h[k : k + AT_ONCE]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
 
 
@@ -70,7 +77,7 @@ def segments_of(f: np.ndarray, width: int) -> np.ndarray:
 
 
 def largest_distance(similarity: float) -> int:
-    return int(64 * len(MIXES) * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return int(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -92,41 +99,93 @@ def _fingerprints(texts: DataFrame, words: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, f array<long>, segments array<long>")
 
 
-def links(prints: DataFrame, most: int, width: int) -> DataFrame:
-    """prints: distinct node, with f and segments.  u < v: links that connect what resembles each other."""
-    n_segments = 64 * len(MIXES) // width
-    masks = [((1 << width) - 1) & ~(1 << bit) for bit in range(width)]
-    keys = F.array(*[F.col("segments")[s].bitwiseAND(F.lit(m)) + F.lit((s * width + b) << width) for s in range(n_segments) for b, m in enumerate(masks)])
-    index = prints.select("node", F.explode(keys).alias("key"))
-    met = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    left = materialize(index.join(met, "key").join(prints.select("node", "f"), "node"), "met")
+def _bucket_links(members: DataFrame, prints: DataFrame, middle: int, loose: int) -> DataFrame:
+    """members: key, node.  u < v and their distance, at most ``loose``: candidates that connect what meets under a key."""
+    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    left = materialize(members.join(met, "key").join(prints.select("node", "f"), "node"), "met")
     found, leaders = [], 1
     while True:
         few = left.filter(F.col("n") <= SMALL)
         a, b = few.select("key", F.col("node").alias("u"), F.col("f").alias("fu")), few.select("key", F.col("node").alias("v"), F.col("f").alias("fv"))
-        found.append(materialize(a.join(b, "key").filter((F.col("u") < F.col("v")) & (_distance(F.col("fu"), F.col("fv")) <= most)).select("u", "v").distinct(), "near"))
+        paired = a.join(b, "key").filter("u < v").select("u", "v", _distance(F.col("fu"), F.col("fv")).alias("d"))
+        found.append(materialize(paired.filter(F.col("d") <= loose).distinct(), "near"))
         many = left.filter(F.col("n") > SMALL)
         if many.isEmpty():
             break
         first = Window.partitionBy("key").orderBy("node")
         heads = many.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select("key", F.col("node").alias("u"), F.col("f").alias("fu"))
-        pairs = many.withColumnRenamed("node", "v").join(heads, "key")
-        near = (F.col("u") < F.col("v")) & (_distance(F.col("fu"), F.col("f")) <= most)
-        judged = materialize(pairs.groupBy("key", "v").agg(F.min(F.when(near, F.col("u"))).alias("u"), F.max(F.when(F.col("u") == F.col("v"), 1).otherwise(0)).alias("head"), F.first("f").alias("f")), "judged")
-        found.append(materialize(judged.filter("u IS NOT NULL").select("u", "v").distinct(), "led"))
-        rest = judged.filter("u IS NULL AND head = 0").select("key", F.col("v").alias("node"), "f")
+        pairs = many.withColumnRenamed("node", "v").join(heads, "key").withColumn("d", _distance(F.col("fu"), F.col("f")))
+        near = F.when((F.col("u") < F.col("v")) & (F.col("d") <= loose), F.struct("d", "u"))
+        judged = materialize(pairs.groupBy("key", "v").agg(F.min(near).alias("best"), F.max(F.when(F.col("u") == F.col("v"), 1).otherwise(0)).alias("head"), F.first("f").alias("f")), "judged")
+        found.append(materialize(judged.filter("best IS NOT NULL").select("best.u", "v", "best.d").distinct(), "led"))
+        rest = judged.filter(F.col("head") == 0).filter(F.col("best").isNull() | (F.col("best.d") > middle)).select("key", F.col("v").alias("node"), "f")
         sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         left, leaders = materialize(rest.join(sizes, "key"), "left"), leaders * 4
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _shingles(text: str | None, words: int) -> set:
+    w = (text or "").encode().lower().split()
+    return set(zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else {tuple(w)}
+
+
+def _resembling(candidates: DataFrame, texts: DataFrame, words: int, similarity: float, sure: int) -> DataFrame:
+    """u < v of the candidates; those of more than ``sure`` bits only if their shingles are as similar as that."""
+    doubtful = candidates.filter(F.col("d") > sure).select("u", "v")
+    asked = doubtful.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    whole = materialize(texts.join(asked, "node").groupBy("node").agg(F.first("text").alias("text")), "doubtful-texts")
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, own = None, set()
+        for batch in batches:
+            keep = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if u != held:
+                    held, own = u, _shingles(a.as_py(), words)
+                other = _shingles(b.as_py(), words)
+                both = len(own & other)
+                keep.append(both >= similarity * (len(own) + len(other) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    with_texts = doubtful.join(whole.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    checked = with_texts.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return materialize(candidates.filter(F.col("d") <= sure).select("u", "v").unionByName(checked), "resembling")
+
+
+def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, width: int) -> DataFrame:
+    """prints: distinct node, with f and segments; texts: node, text.  u < v: links that connect what resembles each other."""
+    middle = largest_distance(similarity)
+    deviation = math.sqrt(middle * (1 - middle / BITS))
+    loose, sure = int(middle + 3 * deviation), int(middle - 4 * deviation)
+
+    def resembling(members: DataFrame) -> DataFrame:
+        return _resembling(materialize(_bucket_links(members, prints, middle, loose), "candidates"), texts, words, similarity, sure)
+
+    values = prints.select("node", F.posexplode("segments").alias("s", "x")).select("node", (F.col("s").cast("long") * (1 << width) + F.col("x")).alias("key"))
+    near = resembling(values)
+    held = values.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = materialize(held.groupBy("key", "root").agg(F.min("node").alias("node")), "held")
+    known = held.select("key").distinct()
+    variants = F.array(*[F.col("key").bitwiseOR(F.lit(1 << bit)) for bit in range(width)])
+    asked = known.select("key", F.posexplode(variants).alias("bit", "name")).filter("name <> key").select("name", "bit")
+    # A variant's number: the value whose bit is set, and which bit.
+    pairs = materialize(asked.join(known.withColumnRenamed("key", "name"), "name").select("name", "bit", (F.col("name") * 64 + F.col("bit")).alias("pair")), "variants")
+    unset = F.expr("name ^ shiftleft(1L, bit)")
+    sides = pairs.select("pair", F.explode(F.array("name", unset)).alias("key")).join(held, "key").select("pair", "root", "node")
+    several = sides.groupBy("pair").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("pair")
+    across = resembling(materialize(sides.join(several, "pair").select(F.col("pair").alias("key"), "node").distinct(), "across"))
+    return near.unionByName(across).distinct()
+
+
 def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 26) -> DataFrame:
     """text_key and class of each distinct text that resembles another; class is the least text_key."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Copies of a text meet here, combined on the map side; a text is at most read twice.
-    prints = materialize(_fingerprints(docs.select(F.xxhash64(text).alias("node"), "text"), words, width), "wide").dropDuplicates(["node"])
-    prints = materialize(prints, "wide-distinct")
-    return components(links(prints, largest_distance(similarity), width)).select(F.col("node").alias("text_key"), F.col("root").alias("class"))
+    # Copies of a text meet here, combined on the map side.
+    texts = docs.select(F.xxhash64(text).alias("node"), "text")
+    prints = materialize(materialize(_fingerprints(texts, words, width), "wide").dropDuplicates(["node"]), "wide-distinct")
+    return components(links(prints, texts, words, similarity, width)).select(F.col("node").alias("text_key"), F.col("root").alias("class"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
