@@ -99,28 +99,42 @@ def _fingerprints(texts: DataFrame, words: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, f array<long>, segments array<long>")
 
 
-def _bucket_links(members: DataFrame, prints: DataFrame, middle: int, loose: int) -> DataFrame:
-    """members: key, node.  u < v and their distance, at most ``loose``: candidates that connect what meets under a key."""
-    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    left = materialize(members.join(met, "key").join(prints.select("node", "f"), "node"), "met")
-    found, leaders = [], 1
+def _measured(pairs: DataFrame, prints: DataFrame, loose: int) -> DataFrame:
+    """pairs: u, v.  Those within ``loose`` bits, with their distance."""
+    own = pairs.join(prints.select(F.col("node").alias("u"), F.col("f").alias("fu")), "u").join(prints.select(F.col("node").alias("v"), F.col("f").alias("fv")), "v")
+    return own.select("u", "v", _distance(F.col("fu"), F.col("fv")).alias("d")).filter(F.col("d") <= loose)
+
+
+def _bucket_links(members: DataFrame, by: str, prints: DataFrame, middle: int, loose: int, pairs: DataFrame | None = None) -> DataFrame:
+    """members: distinct (by, node); pairs: more u < v to measure.  u < v and their distance, at most ``loose``: candidates that connect what meets in a bucket.
+
+    The first leader of a bucket is its least node, so that two texts alone need no join.
+    """
+    met = materialize(members.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1"), "met")
+    more = materialize(members.join(met.filter("n > 2").select(by, "u"), by).filter("node <> u").select(by, "u", F.col("node").alias("v")), "members")
+    asked = met.filter("n = 2").select("u", "v").unionByName(more.select("u", "v"))
+    asked = (asked if pairs is None else asked.unionByName(pairs)).distinct()
+    found, leaders = [materialize(_measured(asked, prints, loose), "near")], 4
+    left = more.join(found[0].filter(F.col("d") <= middle).select("u", "v"), ["u", "v"], "left_anti").select(by, F.col("v").alias("node"))
+    sizes = left.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    left = materialize(left.join(sizes, by).join(prints.select("node", "f"), "node"), "left")
     while True:
         few = left.filter(F.col("n") <= SMALL)
-        a, b = few.select("key", F.col("node").alias("u"), F.col("f").alias("fu")), few.select("key", F.col("node").alias("v"), F.col("f").alias("fv"))
-        paired = a.join(b, "key").filter("u < v").select("u", "v", _distance(F.col("fu"), F.col("fv")).alias("d"))
+        a, b = few.select(by, F.col("node").alias("u"), F.col("f").alias("fu")), few.select(by, F.col("node").alias("v"), F.col("f").alias("fv"))
+        paired = a.join(b, by).filter("u < v").select("u", "v", _distance(F.col("fu"), F.col("fv")).alias("d"))
         found.append(materialize(paired.filter(F.col("d") <= loose).distinct(), "near"))
         many = left.filter(F.col("n") > SMALL)
         if many.isEmpty():
             break
-        first = Window.partitionBy("key").orderBy("node")
-        heads = many.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select("key", F.col("node").alias("u"), F.col("f").alias("fu"))
-        pairs = many.withColumnRenamed("node", "v").join(heads, "key").withColumn("d", _distance(F.col("fu"), F.col("f")))
+        first = Window.partitionBy(by).orderBy("node")
+        heads = many.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select(by, F.col("node").alias("u"), F.col("f").alias("fu"))
+        led = many.withColumnRenamed("node", "v").join(heads, by).withColumn("d", _distance(F.col("fu"), F.col("f")))
         near = F.when((F.col("u") < F.col("v")) & (F.col("d") <= loose), F.struct("d", "u"))
-        judged = materialize(pairs.groupBy("key", "v").agg(F.min(near).alias("best"), F.max(F.when(F.col("u") == F.col("v"), 1).otherwise(0)).alias("head"), F.first("f").alias("f")), "judged")
+        judged = materialize(led.groupBy(by, "v").agg(F.min(near).alias("best"), F.max(F.when(F.col("u") == F.col("v"), 1).otherwise(0)).alias("head"), F.first("f").alias("f")), "judged")
         found.append(materialize(judged.filter("best IS NOT NULL").select("best.u", "v", "best.d").distinct(), "led"))
-        rest = judged.filter(F.col("head") == 0).filter(F.col("best").isNull() | (F.col("best.d") > middle)).select("key", F.col("v").alias("node"), "f")
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        left, leaders = materialize(rest.join(sizes, "key"), "left"), leaders * 4
+        rest = judged.filter(F.col("head") == 0).filter(F.col("best").isNull() | (F.col("best.d") > middle)).select(by, F.col("v").alias("node"), "f")
+        sizes = rest.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        left, leaders = materialize(rest.join(sizes, by), "left"), leaders * 4
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -160,11 +174,11 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     deviation = math.sqrt(middle * (1 - middle / BITS))
     loose, sure = int(middle + 3 * deviation), int(middle - 4 * deviation)
 
-    def resembling(members: DataFrame) -> DataFrame:
-        return _resembling(materialize(_bucket_links(members, prints, middle, loose), "candidates"), texts, words, similarity, sure)
+    def resembling(members: DataFrame, by: str, pairs: DataFrame | None = None) -> DataFrame:
+        return _resembling(materialize(_bucket_links(members, by, prints, middle, loose, pairs), "candidates"), texts, words, similarity, sure)
 
     values = prints.select("node", F.posexplode("segments").alias("s", "x")).select("node", (F.col("s").cast("long") * (1 << width) + F.col("x")).alias("key"))
-    near = resembling(values)
+    near = resembling(values, "key")
     held = values.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = materialize(held.groupBy("key", "root").agg(F.min("node").alias("node")), "held")
     known = held.select("key").distinct()
@@ -173,9 +187,11 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     # A variant's number: the value whose bit is set, and which bit.
     pairs = materialize(asked.join(known.withColumnRenamed("key", "name"), "name").select("name", "bit", (F.col("name") * 64 + F.col("bit")).alias("pair")), "variants")
     unset = F.expr("name ^ shiftleft(1L, bit)")
-    sides = pairs.select("pair", F.explode(F.array("name", unset)).alias("key")).join(held, "key").select("pair", "root", "node")
-    several = sides.groupBy("pair").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("pair")
-    across = resembling(materialize(sides.join(several, "pair").select(F.col("pair").alias("key"), "node").distinct(), "across"))
+    sides = materialize(pairs.select("pair", F.explode(F.array("name", unset)).alias("key")).join(held, "key").select("pair", "root", "node"), "sides")
+    # Classes that meet; a text of two classes' values is on one side only, as the values differ.
+    several = sides.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("z"), F.min("node").alias("u"), F.max("node").alias("v")).filter("a <> z")
+    several = materialize(several, "several")
+    across = resembling(sides.join(several.filter("n > 2").select("pair"), "pair").select("pair", "node"), "pair", several.filter("n = 2").select("u", "v"))
     return near.unionByName(across).distinct()
 
 
