@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 
 from packrel import api
 from packrel.config import CreationConfig, ExtractionOptions, SecurityConfig
+from packrel.operators import joins
+from packrel.sources.archive import existing_paths
 
 EXIT = {"PASS": 0, "FAIL": 1, "WARNING": 2}
 
@@ -41,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--max-files", type=int)
         if name == "extract":
             c.add_argument("output", nargs="?", default=".")
-            for flag in ("--allow-symlinks", "--allow-hardlinks", "--allow-solid-archives", "--atomic", "--overwrite"):
+            for flag in ("--allow-symlinks", "--allow-hardlinks", "--allow-solid-archives", "--atomic", "--overwrite", "--force"):
                 c.add_argument(flag, action="store_true")
             c.add_argument("--allowed-extensions", type=extensions, default=())
             c.add_argument("--banned", action="append")
@@ -53,9 +55,40 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--strip-prefix")
     for flag in ("--force", "--follow-symlinks", "--include-hidden"):
         c.add_argument(flag, action="store_true")
+    c = sub.add_parser("completion")
+    c.add_argument("shell", choices=["bash", "zsh", "fish"])
     return p
 
 
+def completion(shell: str) -> str:
+    """A script that completes commands and their options."""
+    sub = next(a for a in parser()._actions if isinstance(a, argparse._SubParsersAction))
+    options = {name: [o for a in p._actions for o in a.option_strings if o.startswith("--")] for name, p in sub.choices.items()}
+    if shell == "fish":
+        lines = [f"complete -c packrel -n __fish_use_subcommand -a {name}" for name in options]
+        lines += [f"complete -c packrel -n '__fish_seen_subcommand_from {name}' -l {o[2:]}" for name, own in options.items() for o in own]
+        return "\n".join(lines)
+    cases = "\n".join(f'    {name}) COMPREPLY=($(compgen -f -W "{" ".join(own)}" -- "$cur")) ;;' for name, own in options.items())
+    script = f"""_packrel() {{
+  local cur="${{COMP_WORDS[COMP_CWORD]}}"
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+    *) COMPREPLY=($(compgen -W "{" ".join(options)}" -- "$cur")) ;;
+  esac
+}}
+complete -F _packrel packrel"""
+    return ("autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else "") + script
+
+
+def refuse_conflicts(spark: SparkSession, archive: str, destination: str, config: SecurityConfig) -> None:
+    """Stop before anything is written if files of the archive are already there."""
+    found, n_more = joins.first_conflicts(api.list_archives(spark, archive, config), existing_paths(spark, destination))
+    first = [r["path"] for r in found.collect()]
+    if first:
+        more = f" ... and {n_more} more" if n_more else ""
+        raise api.ArchiveError("OUTPUT_EXISTS", f"files already exist in {destination}: {', '.join(first)}{more}; --force extracts all the same")
+
+
 def policy(a: argparse.Namespace) -> SecurityConfig:
     given = {"max_total_size": a.max_total_size, "max_file_size": a.max_file_size, "max_file_count": a.max_files}
     if a.command == "extract":
@@ -67,13 +100,18 @@ def policy(a: argparse.Namespace) -> SecurityConfig:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "completion":
+        print(completion(a.shell))
+        return 0
     spark = spark or SparkSession.builder.appName("packrel").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if a.command == "create":
             config = CreationConfig(compression_level=a.level, exclude_patterns=(*CreationConfig().exclude_patterns, *a.exclude), strip_prefix=a.strip_prefix, follow_symlinks=a.follow_symlinks, include_hidden=a.include_hidden)
             out, code = asdict(api.create_archive(spark, a.output, a.sources, config, a.force)), 0
         elif a.command == "extract":
-            out, code = asdict(api.extract_archive(spark, a.archive, a.output, policy(a), ExtractionOptions(a.atomic, not a.overwrite))), 0
+            if not (a.atomic or a.force or a.overwrite):
+                refuse_conflicts(spark, a.archive, a.output, policy(a))
+            out, code = asdict(api.extract_archive(spark, a.archive, a.output, policy(a), ExtractionOptions(a.atomic, not (a.overwrite or a.force), a.force))), 0
         elif a.command == "list":
             rows = api.list_archives(spark, a.archive, policy(a), strict=True).select("path", "entry_type", "size").orderBy("archive", "entry_idx")
             out, code = [r.asDict() for r in rows.toLocalIterator()], 0

@@ -75,8 +75,11 @@ class SecurityConfig:
 
 @dataclass(frozen=True)
 class ExtractionOptions:
+    """replace: an atomic extraction may take the place of a folder that is already there."""
+
     atomic: bool = False
     skip_duplicates: bool = True
+    replace: bool = False
 
 
 @dataclass(frozen=True)

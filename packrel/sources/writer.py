@@ -255,12 +255,35 @@ def create_archives(entries: DataFrame, config: CreationConfig | None = None) ->
     return dealt.mapInArrow(run, "archive string, files_added long, directories_added long, symlinks_added long, bytes_written long, bytes_compressed long")
 
 
-def _write_files(rows: DataFrame, root: str, replace: bool) -> DataFrame:
+def swap_in(staged: str, destination: str, seen: tuple[int, int] | None) -> None:
+    """Put a complete folder in the place of another, which comes back if that fails.
+
+    seen: device and inode of the folder that was there when the extraction began; another one
+    in its place is left alone.
+    """
+    if seen is None:
+        os.rename(staged, destination)
+        return
+    now = os.lstat(destination)
+    if (now.st_dev, now.st_ino) != seen:
+        raise ArchiveError("OUTPUT_EXISTS", f"destination was changed meanwhile: {destination}")
+    backup = f"{destination}.{uuid.uuid4().hex}.backup"
+    os.rename(destination, backup)
+    try:
+        os.rename(staged, destination)
+    except OSError:
+        os.rename(backup, destination)
+        raise
+    shutil.rmtree(backup, ignore_errors=True)
+
+
+def _write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Writes at, content and mode; returns at and the bytes of each file."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n = 0
             for r in batch.to_pylist():
                 target = os.path.join(root, r["at"])
                 os.makedirs(os.path.dirname(target), exist_ok=True)
@@ -270,10 +293,10 @@ def _write_files(rows: DataFrame, root: str, replace: bool) -> DataFrame:
                     f.write(r["content"] or b"")
                     os.fchmod(f.fileno(), r["mode"] if r["mode"] is not None else 0o644)
                 os.replace(part, target)
-                n += len(r["content"] or b"")
-            yield pa.RecordBatch.from_pylist([{"files": batch.num_rows, "bytes": n}])
+            sizes = [len(x.as_py() or b"") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["at", "bytes"])
 
-    return rows.select("at", "content", "mode").mapInArrow(run, "files long, bytes long")
+    return rows.select("at", "content", "mode").mapInArrow(run, "at string, bytes long")
 
 
 def extract_archive(
@@ -287,8 +310,14 @@ def extract_archive(
     config, options = config or SecurityConfig(), options or ExtractionOptions()
     began, report = time.time(), ExtractionReport()
     destination = os.path.abspath(destination)
-    if options.atomic and os.path.exists(destination):
-        raise ArchiveError("OUTPUT_EXISTS", f"output file already exists: {destination}")
+    seen = None
+    if options.atomic and os.path.lexists(destination):
+        if not options.replace:
+            raise ArchiveError("OUTPUT_EXISTS", f"output file already exists: {destination}")
+        info = os.lstat(destination)
+        if os.path.islink(destination) or not os.path.isdir(destination):
+            raise ArchiveError("OUTPUT_EXISTS", f"only a folder can be replaced: {destination}")
+        seen = info.st_dev, info.st_ino
     entries = read_archives(spark, path, with_content=True, budget=config.max_tar_metadata_bytes).cache()
     broken = entries.filter("scan_error IS NOT NULL").select("entry_idx", "scan_error").first()
     solid = reports.solid_check(entries.filter("scan_error IS NULL"), config).filter("error IS NOT NULL").first()
@@ -327,8 +356,16 @@ def extract_archive(
         outside = [d["d"] for d in once.select(F.element_at(F.concat(F.array(F.lit("")), P.parents(F.col("at"))), -1).alias("d")).distinct().coalesce(1).toLocalIterator() if not os.path.realpath(os.path.join(root, d["d"])).startswith(base)]
         if outside:
             raise ArchiveError("PATH_TRAVERSAL", f"path traversal detected: {outside[0]}")
-        sums = _write_files(once, root, not options.skip_duplicates).agg(F.sum("files"), F.sum("bytes")).first()
-        report.files_extracted, report.bytes_written = sums[0] or 0, sums[1] or 0
+        written = _write_files(once, root)
+        if progress:  # a call for each file, as partitions are done; rows of names and sizes only
+            total = done.count()
+            for r in written.toLocalIterator():
+                report.files_extracted += 1
+                report.bytes_written += r["bytes"]
+                progress(r["at"], total, report.total_items(), report.bytes_written)
+        else:
+            sums = written.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+            report.files_extracted, report.bytes_written = sums[0], sums[1] or 0
         for r in done.filter("action = 'symlink'").orderBy("entry_idx").select("at", "symlink_target").coalesce(1).toLocalIterator():
             link = os.path.join(root, r["at"])
             os.makedirs(os.path.dirname(link), exist_ok=True)
@@ -364,7 +401,7 @@ def extract_archive(
             partial = report.total_items() > 0 or report.files_skipped > 0 or bool(report.warnings)
             raise ArchiveError(stop[1], stop[2], report if partial else None)
         if options.atomic:
-            os.rename(root, destination)
+            swap_in(root, destination, seen)
         return report
     finally:
         entries.unpersist()

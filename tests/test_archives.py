@@ -210,6 +210,18 @@ def test_cli_and_builders(spark, tree, tmp_path, capsys):
     assert main(["verify", out], spark) == 0
     assert main(["extract", out, str(tmp_path / "e"), "--atomic"], spark) == 0 and (tmp_path / "e" / "a.txt").exists()
     assert main(["extract", out, str(tmp_path / "e"), "--atomic"], spark) == 1
+    (tmp_path / "e" / "old").write_text("goes with the folder")
+    assert main(["extract", out, str(tmp_path / "e"), "--atomic", "--force"], spark) == 0
+    assert os.listdir(tmp_path / "e") == ["a.txt"] and not [x for x in os.listdir(tmp_path) if "backup" in x or "staging" in x]
+    capsys.readouterr()
+    assert main(["extract", out, str(tmp_path / "e")], spark) == 1 and "a.txt" in capsys.readouterr().err
+    (tmp_path / "e" / "a.txt").write_text("old")
+    assert main(["extract", out, str(tmp_path / "e"), "--force"], spark) == 0 and (tmp_path / "e" / "a.txt").read_bytes() == b"hello" * 100
+    for shell in ("bash", "zsh", "fish"):
+        assert main(["completion", shell]) == 0 and "extract" in capsys.readouterr().out
+    calls = []
+    api.extract_archive(spark, out, str(tmp_path / "g"), progress=lambda *x: calls.append(x))
+    assert calls[0][0] == "a.txt" and calls[-1][3] == 500
     assert api.ArchiveCreator(spark).output(str(tmp_path / "d.tar")).source(str(tree)).set(include_hidden=True).create().files_added == 4
     assert api.ArchiveBuilder(spark).archive(out).output_dir(str(tmp_path / "f")).extract().files_extracted == 1
     with pytest.raises(api.ArchiveError):
