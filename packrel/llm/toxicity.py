@@ -203,13 +203,20 @@ def _index(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
     return distinct, np.split(ids, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
 
 
+def _index_each(texts) -> tuple[list[bytes], list[np.ndarray]]:
+    """As _index, holding the words of one text at a time."""
+    of: dict[bytes, int] = {}
+    ids = [np.fromiter((of.setdefault(w, len(of)) for w in own), np.int32, len(own)) for own in texts]
+    return list(of), ids
+
+
 def _windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, and the text that each is of."""
     starts = [windows_of(len(x)) for x in ids]
     owner = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
     padded = [np.append(x, np.full(WINDOW - len(x), -1, np.int32)) if len(x) < WINDOW else x for x in ids]
     base = np.cumsum([0] + [len(x) for x in padded[:-1]])
-    at = (np.concatenate([s + b for s, b in zip(starts, base, strict=True)]) if starts else np.zeros(0, np.int64))[:, None] + np.arange(WINDOW)
+    at = (np.concatenate([s + b for s, b in zip(starts, base, strict=True)]) if starts else np.zeros(0, np.int64)).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
     return (np.concatenate(padded) if padded else np.zeros(0, np.int32))[at], owner
 
 
@@ -233,7 +240,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 10, seed: in
     if len(y) == 0 or y.min() == y.max() or not any(words(t) for t in texts):
         return Model({}, {}, False)
     rng = np.random.default_rng(seed)
-    distinct, ids = _index([words(t) for t in texts])
+    distinct, ids = _index_each(words(t) for t in texts)
     df, toxic = np.zeros(len(distinct)), np.zeros(len(distinct))
     for x, label in zip(ids, labels, strict=True):
         own = np.unique(x)
@@ -256,7 +263,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 10, seed: in
     model = Model({distinct[i]: n for n, i in enumerate(order)}, p)
     windows, owner = _windows(ids)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
-    heat = np.where(windows >= 0, np.append(odds, 0)[windows], 0).clip(0).sum(axis=1)
+    warm = np.append(odds, 0).clip(0).astype(np.float32)
+    heat = np.concatenate([np.where(part >= 0, warm[part], 0).sum(axis=1) for part in np.array_split(windows, -(-len(windows) // AT_ONCE))])
     m1, m2, step = {x: np.zeros_like(v) for x, v in p.items()}, {x: np.zeros_like(v) for x, v in p.items()}, 0
     flat, sizes = _bigrams(distinct)
     of = np.repeat(np.arange(len(distinct)), sizes)
