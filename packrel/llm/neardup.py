@@ -18,9 +18,11 @@ Segments are as long as they are so that chance meetings stay few: with n texts
 n * 513 / 2**26 others by chance.  Larger corpora take longer segments (``width``).
 
 Buckets of up to ``SMALL`` texts are paired.  In larger ones every text is compared with leaders, the
-first 1, 4, 16, ... of those left over; whoever resembles a leader is linked to the nearest and is done.  A
-group of copies thus costs a comparison each and not a pair for every two, nothing is capped,
-and the rounds grow with the logarithm of what is left.
+first 1, 4, 16, ... of those left over; whoever resembles a leader is linked to the nearest.  As
+resemblance isn't transitive, texts of a bucket that the checked links leave in different classes are
+then compared with each other, all of them: only a pair within one class is left out.  A group of
+copies thus costs a comparison each and not a pair for every two, and nothing is capped; texts outside
+a bucket's largest class cost a comparison with each text of the bucket.
 
 Defined cases: null and word-less texts are equal to each other; texts with fewer words than a
 shingle are one shingle; repeated and null ids are rows like any other, told apart by id and text;
@@ -138,6 +140,24 @@ def _bucket_links(members: DataFrame, by: str, prints: DataFrame, middle: int, l
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _across(members: DataFrame, by: str, roots: DataFrame, prints: DataFrame, loose: int) -> DataFrame:
+    """members: distinct (by, node); roots: node, root.  u < v of two classes that meet in a bucket, at most ``loose`` bits apart, with their distance.
+
+    No text stands for its class.  All pairs of two classes have a text outside the bucket's largest
+    class, so those texts are compared with the whole bucket.
+    """
+    own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = own.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"))
+    bulk = classes.groupBy(by).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("bulk")).filter("k > 1 AND n > 2").select(by, "bulk")
+    met = materialize(own.join(bulk, by).join(prints.select("node", "f"), "node"), "classes-met")
+    a = met.filter("root <> bulk").select(by, F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("fa"))
+    b = met.select(F.col(by).alias("of"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("fb"), "bulk")
+    d = _distance(F.col("fa"), F.col("fb"))
+    once = (F.col("rb") == F.col("bulk")) | (F.col("a") < F.col("b"))
+    found = a.join(b, (F.col(by) == F.col("of")) & (F.col("ra") != F.col("rb")) & once & (d <= loose))
+    return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), d.alias("d")).distinct()
+
+
 def _shingles(text: str | None, words: int) -> set:
     w = (text or "").encode().lower().split()
     return set(zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else {tuple(w)}
@@ -179,6 +199,9 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
 
     values = prints.select("node", F.posexplode("segments").alias("s", "x")).select("node", (F.col("s").cast("long") * (1 << width) + F.col("x")).alias("key"))
     near = resembling(values, "key")
+    # Whoever resembles a leader may resemble others that the leader doesn't.
+    rest = materialize(_across(values, "key", components(near), prints, loose), "candidates")
+    near = near.unionByName(_resembling(rest, texts, words, similarity, sure))
     held = values.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = materialize(held.groupBy("key", "root").agg(F.min("node").alias("node")), "held")
     known = held.select("key").distinct()

@@ -62,3 +62,42 @@ def test_rows(odd, none):
     assert kept.count() == odd.count() - 1 or kept.count() == odd.count()
     assert {1, 2, 5, 6, 8, 9} <= {r.doc_id for r in kept.collect()}
     assert neardup.drop_near_copies(none).collect() == []
+
+
+def star(rng, n=300, size=250):
+    """A text and n edits of it, most at 0.8 and more of it but not of each other; edits of edits."""
+    base = words(rng, size)
+    out = [base]
+    for k in range(n):
+        own = list(base if k % 3 else rng.choice(out))
+        for at in rng.sample(range(size), rng.randrange(3, 8)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        out.append(own)
+    return [" ".join(x) for x in out]
+
+
+def lost(spark, texts, bits):
+    """Pairs that meet where a segment differs in ``bits`` bits at most and resemble each other: how many aren't in one class, and how many there are."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    of = {r.text: r.k for r in df.selectExpr("text", "xxhash64(text) k").collect()}
+    root = {r.text_key: r["class"] for r in neardup.near_classes(df).collect()}
+    s = neardup.segments_of(np.array([neardup.wide_fingerprint(t) for t in texts]), 26)
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (t.split() for t in texts)]
+    gone = n = 0
+    for i in range(len(texts)):
+        for j in np.flatnonzero((np.bitwise_count(s[:i] ^ s[i]) <= bits).any(axis=1)):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                n += 1
+                gone += root.get(of[texts[i]], i) != root.get(of[texts[j]], -1)
+    return gone, n
+
+
+def stars():
+    """Two groups of 200 edits without their originals."""
+    return [t for seed in (11, 12) for t in star(random.Random(seed), 200)[1:]]
+
+
+def test_stars_in_equal_values_against_brute_force(spark):
+    gone, n = lost(spark, stars(), 0)
+    assert n > 50 and gone == 0
