@@ -11,8 +11,9 @@ between their shingle sets, so a similarity s becomes a largest distance of
 The index works on distinct segment values.  Texts of an equal value are judged first and put into
 classes.  A one-wildcard variant stands for two values, and is named by the one whose bit is set: so a
 value asks for the names of its variants with unset bits, and is itself the name of the others.  Where
-such a name exists, the classes under the two values meet, each through its least text there, unless
-they are one class already.  A large group of near copies is thus one class a value and not met again.
+such a name exists, the classes under the two values meet, first through their least texts there, then,
+where they are still several classes, with all texts of the one value and the other.  A large group of
+near copies is one class by then and not met again.
 
 Segments are as long as they are so that chance meetings stay few: with n texts a text meets about
 n * 513 / 2**26 others by chance.  Larger corpora take longer segments (``width``).
@@ -140,8 +141,8 @@ def _bucket_links(members: DataFrame, by: str, prints: DataFrame, middle: int, l
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _across(members: DataFrame, by: str, roots: DataFrame, prints: DataFrame, loose: int) -> DataFrame:
-    """members: distinct (by, node); roots: node, root.  u < v of two classes that meet in a bucket, at most ``loose`` bits apart, with their distance.
+def _across(members: DataFrame, by: str, roots: DataFrame, prints: DataFrame, loose: int, side: str | None = None) -> DataFrame:
+    """members: distinct (by, node), and side where only texts of two sides meet; roots: node, root.  u < v of two classes that meet in a bucket, at most ``loose`` bits apart, with their distance.
 
     No text stands for its class.  All pairs of two classes have a text outside the bucket's largest
     class, so those texts are compared with the whole bucket.
@@ -150,11 +151,13 @@ def _across(members: DataFrame, by: str, roots: DataFrame, prints: DataFrame, lo
     classes = own.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"))
     bulk = classes.groupBy(by).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("bulk")).filter("k > 1 AND n > 2").select(by, "bulk")
     met = materialize(own.join(bulk, by).join(prints.select("node", "f"), "node"), "classes-met")
-    a = met.filter("root <> bulk").select(by, F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("fa"))
-    b = met.select(F.col(by).alias("of"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("fb"), "bulk")
+    at = F.col(side) if side else F.lit(None)
+    a = met.filter("root <> bulk").select(by, at.alias("sa"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("fa"))
+    b = met.select(F.col(by).alias("of"), at.alias("sb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("fb"), "bulk")
     d = _distance(F.col("fa"), F.col("fb"))
     once = (F.col("rb") == F.col("bulk")) | (F.col("a") < F.col("b"))
-    found = a.join(b, (F.col(by) == F.col("of")) & (F.col("ra") != F.col("rb")) & once & (d <= loose))
+    apart = F.col("sa") != F.col("sb") if side else F.lit(True)
+    found = a.join(b, apart & (F.col(by) == F.col("of")) & (F.col("ra") != F.col("rb")) & once & (d <= loose))
     return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), d.alias("d")).distinct()
 
 
@@ -215,7 +218,15 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     several = sides.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("z"), F.min("node").alias("u"), F.max("node").alias("v")).filter("a <> z")
     several = materialize(several, "several")
     across = resembling(sides.join(several.filter("n > 2").select("pair"), "pair").select("pair", "node"), "pair", several.filter("n = 2").select("u", "v"))
-    return near.unionByName(across).distinct()
+    near = materialize(near.unionByName(across).distinct(), "links")
+    # A class's least text need not resemble what its other texts do: whoever meets in two classes still is compared.
+    roots = components(near)
+    ends = pairs.select("pair", F.explode(F.array("name", unset)).alias("key"))
+    classes = values.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")).distinct()
+    apart = ends.join(classes, "key").groupBy("pair").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("pair")
+    members = ends.join(apart, "pair").join(values, "key").select("pair", "key", "node")
+    rest = materialize(_across(members, "pair", roots, prints, loose, "key"), "candidates")
+    return near.unionByName(_resembling(rest, texts, words, similarity, sure)).distinct()
 
 
 def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 26) -> DataFrame:

@@ -101,3 +101,8 @@ def stars():
 def test_stars_in_equal_values_against_brute_force(spark):
     gone, n = lost(spark, stars(), 0)
     assert n > 50 and gone == 0
+
+
+def test_stars_in_values_one_bit_apart_against_brute_force(spark):
+    gone, n = lost(spark, stars(), 1)
+    assert n > 150 and gone == 0
