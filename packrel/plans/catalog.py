@@ -311,6 +311,21 @@ b AS (SELECT a.archive, coalesce(files_extracted, 0) AS files_extracted, coalesc
   FROM (SELECT DISTINCT archive FROM e) a LEFT JOIN wa USING (archive) LEFT JOIN ot USING (archive) LEFT JOIN st USING (archive))
 SELECT *, duplicates_skipped + extensions_skipped AS files_skipped, error_code IS NOT NULL AND files_extracted + directories_created + duplicates_skipped + extensions_skipped > 0 AS partial FROM b"""
 
+@query(f"""{_PLAN_SQL}, st AS (SELECT archive, min(entry_idx) AS stop, arg_min(code, entry_idx) AS error_code FROM plan WHERE code IS NOT NULL GROUP BY archive),
+f AS (SELECT plan.* FROM plan LEFT JOIN st USING (archive) WHERE stop IS NULL OR entry_idx < stop),
+wr AS (SELECT archive, array_to_string(p, '/') AS t, count(*) AS n, arg_min(size, entry_idx) AS first_size FROM f WHERE action = 'write' GROUP BY ALL),
+wa AS (SELECT archive, count(*) AS files_extracted, sum(first_size)::BIGINT AS bytes_written, (sum(n) - count(*))::BIGINT AS duplicates_skipped FROM wr GROUP BY archive),
+ot AS (SELECT archive, count(*) FILTER (action = 'mkdir') AS directories_created, count(*) FILTER (action = 'symlink') AS symlinks_created, count(*) FILTER (action = 'hardlink') AS hardlinks_deferred,
+  count(*) FILTER (action = 'skip_ext') AS extensions_skipped FROM f GROUP BY archive),
+b AS (SELECT a.archive, coalesce(files_extracted, 0) AS files_extracted, coalesce(bytes_written, 0) AS bytes_written, coalesce(duplicates_skipped, 0) AS duplicates_skipped, coalesce(directories_created, 0) AS directories_created,
+  coalesce(symlinks_created, 0) AS symlinks_created, coalesce(hardlinks_deferred, 0) AS hardlinks_deferred, coalesce(extensions_skipped, 0) AS extensions_skipped, error_code
+  FROM (SELECT DISTINCT archive FROM plan) a LEFT JOIN wa USING (archive) LEFT JOIN ot USING (archive) LEFT JOIN st USING (archive))
+SELECT *, duplicates_skipped + extensions_skipped AS files_skipped, error_code IS NOT NULL AND files_extracted + directories_created + symlinks_created + duplicates_skipped + extensions_skipped > 0 AS partial FROM b""")
+def extraction_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries, hostile paths, links and ratios included."""
+    return reports.extraction_report(entries_docs(spark, sf_dir), EXTRACT, ExtractionOptions()).drop("error_message").withColumn("bytes_written", F.col("bytes_written").cast("long"))
+
+
 CREATE = CreationConfig(exclude_patterns=(".git", "*.exe"), max_file_size=9000)
 
 
