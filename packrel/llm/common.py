@@ -52,9 +52,14 @@ def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names, [F.col(n).alias(c) for c, n in names.items()]
 
 
+def partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle whose number isn't left to adaptive planning."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def lanes(spark: SparkSession) -> int:
     """How many ways a hot key is split; follows the number of shuffle partitions."""
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(64, 4 * partitions(spark))
 
 
 def spread_join(rows: DataFrame, key: str, found: DataFrame, lane: Column) -> DataFrame:

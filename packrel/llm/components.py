@@ -1,16 +1,26 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
 Every round is two group-by and join steps over the links, which never leave the executors;
-each round's links are written to the shared folder.  Rounds grow with the logarithm of the
-longest path.  Joins on a hot node are left to adaptive skew handling.
+each round's links are written to the shared folder, and what tells whether they changed is
+observed while they are written.  Rounds grow with the logarithm of the longest path.  A node with
+very many links is spread over lanes in each join.
+
+Defined cases: a link of a node to itself is none; null ends are left out; repeated links count
+once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lanes, materialize, spread_join
+
+
+def _hung(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows: u, v; least: u, m.  v and its m as a link."""
+    lane = F.pmod(F.xxhash64("v"), F.lit(lanes(rows.sparkSession)))
+    return spread_join(rows, "u", least, lane).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,21 +28,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _hung(both.filter("v > u"), least)
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        # A link is (larger, smaller) here: its smaller end hangs on the least of the larger one's.
+        out = _hung(down, least).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
+def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    seen = Observation()
+    marks = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")
+    out = materialize(edges.observe(seen, *marks), label)
+    return out, tuple(sorted(seen.get.items(), key=str))
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges: u, v of any orderable type.  node, root for every node of a link; root is the least node reachable."""
-    now = materialize(edges.filter("u <> v").distinct(), "links")
-    mark = None
+    now, mark = _written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(rounds):
-        now = materialize(_star(_star(now, True), False), "stars")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        now, seen = _written(_star(_star(now, True), False), "stars")
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = seen

@@ -1,29 +1,27 @@
 """Near copies by wide SimHash fingerprints and deletion-variant signatures.
 
 For documents of a Jaccard similarity of 0.8 over five-word shingles, two 64-bit fingerprints differ in
-ten bits or so, too many for few segments of one fingerprint.  Here a fingerprint has 512 bits (eight
-mixes of each shingle's XXH64), cut into 19 segments of 26 bits.  Texts meet where a segment differs in
-at most one bit, and are verified on all 512 bits: the share of different bits estimates the angle
-between their shingle sets, so a similarity s becomes a largest distance of
-512 * acos(2s / (1 + s)) / pi.  A pair is met with probability 0.79, 0.93, 0.99 and 1 at a similarity of
-0.8, 0.85, 0.9 and 0.95; a document of a larger group has as many chances as it has partners.
-
-The index works on distinct segment values.  Texts of an equal value are judged first and put into
-classes.  A one-wildcard variant stands for two values, and is named by the one whose bit is set: so a
-value asks for the names of its variants with unset bits, and is itself the name of the others.  Where
-such a name exists, the classes under the two values meet, first through their least texts there, then,
-where they are still several classes, with all texts of the one value and the other.  A large group of
-near copies is one class by then and not met again.
-
-Segments are as long as they are so that chance meetings stay few: with n texts a text meets about
-n * 513 / 2**26 others by chance.  Larger corpora take longer segments (``width``).
-
-Buckets of up to ``SMALL`` texts are paired.  In larger ones every text is compared with leaders, the
-first 1, 4, 16, ... of those left over; whoever resembles a leader is linked to the nearest.  As
-resemblance isn't transitive, texts of a bucket that the checked links leave in different classes are
-then compared with each other, all of them: only a pair within one class is left out.  A group of
-copies thus costs a comparison each and not a pair for every two, and nothing is capped; texts outside
-a bucket's largest class cost a comparison with each text of the bucket.
+ten bits or so, too many for few segments of one fingerprint.  Here a fingerprint has 1024 bits or more
+(mixes of each shingle's hash), cut into segments of 26 bits or more.  Texts meet where a segment
+differs in at most one bit.  ``shape`` derives both numbers from the number of texts: segments grow with
+its logarithm, so that a text meets a few others by chance at any size, and there are as many of them as
+meet a pair of exactly the asked similarity with a probability of 0.95 (0.99 at 0.85).
+
+The index works on distinct segment values.  Values one bit apart agree in one half of the segment, so
+each value goes to two places, by either half; there its one-wildcard variants are looked up among the
+values with the same half, which are few (at most 2 ** 13 of 26 bits), and nothing else is shuffled.
+
+Large groups of near copies are found first: values are put in order over the cluster, and each text is
+compared with its neighbours under a value, all of them where these are at most eight and the next two
+else; whoever surely resembles a neighbour (by the bits) is in one class with it.  Then every two texts
+that meet, under one value or two values a bit apart, and are not in one class by then, are compared.
+Within a meeting, texts of its largest class are not compared with each other and all others with
+everyone, in lanes of bounded size.  So a group of copies costs a few comparisons each, and no text
+stands for others.
+
+Candidates are pairs whose numbers of shingles allow the similarity and whose bits are at most three
+standard deviations beyond the distance expected at it; where the bits leave doubt, and for short
+texts always, the shingles themselves decide.
 
 Defined cases: null and word-less texts are equal to each other; texts with fewer words than a
 shingle are one shingle; repeated and null ids are rows like any other, told apart by id and text;
@@ -33,43 +31,93 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shielded
+from .common import materialize, partitions, shielded
 from .components import components
 
-MIXES = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-BITS, SMALL = 64 * len(MIXES), 8
-#: Shingles whose bits are spread out at a time.
-AT_ONCE = 1 << 13
+#: Mixes of 64 bits and the segments' bits, up to 2**18 texts.
+MIXES, WIDTH, RECALL = 16, 26, 0.95
+BITS = 64 * MIXES
+#: Texts under a value that are all compared; shingles up to which only the shingles decide.
+SMALL, SHORT = 8, 64
+#: Texts of a meeting that a task compares with all others of it.
+LANE = 2048
+#: Values that are held together; shingles whose bits are counted together (a byte each).
+ROWS, AT_ONCE = 1 << 20, 255
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def shape(n: int, similarity: float) -> tuple[int, int]:
+    """Bits of a segment, and mixes, for n texts."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = max(WIDTH, math.ceil(math.log2(max(n, 1))) + 8)
+    met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - met)) if met < 1 else 1
+    return width, max(MIXES, -(-segments * width // 64))
+
+
+@lru_cache(maxsize=4)
+def _mixes(n: int) -> np.ndarray:
+    return np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray, mixes: int) -> np.ndarray:
     """(shingles, mixes): the hash of each shingle under each mix."""
-    x = h[:, None] ^ MIXES
+    x = h[:, None] ^ _mixes(mixes)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """An unsigned 64-bit word for each mix; zeros for a text without words."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of the shingles; none for a text without words."""
     import xxhash
 
     w = (text or "").encode().lower().split()
     if not w:
-        return np.zeros(len(MIXES), np.uint64)
-    joined = [b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)] if len(w) >= words else [b" ".join(w)]
+        return np.zeros(0, np.uint64)
+    of: dict[bytes, int] = {}
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(s, 42) for s in joined), np.uint64, len(joined)))  # a set, as the similarity is one of sets
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(h), AT_ONCE):
-        ones += np.unpackbits(_mixed(h[k : k + AT_ONCE]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+    for x in w:
+        if x not in of:
+            of[x] = digest(x, 42)
+    own = np.fromiter(map(of.__getitem__, w), np.uint64, len(w))
+    n = min(words, len(w))
+    odd = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(n)], np.uint64)
+    return np.unique(reduce(np.add, (own[k : len(w) - n + 1 + k] * odd[k] for k in range(n))))
+
+
+def _ones(h: np.ndarray, mixes: int) -> np.ndarray:
+    """How many of the hashes have each bit, (mixes, 64)."""
+    out = np.zeros((mixes, 64), np.int64)
+    lane = np.uint64(0x0101010101010101)
+    for k in range(0, len(h), AT_ONCE * 32):
+        x = _mixed(h[k : k + AT_ONCE * 32], mixes)
+        if short := -len(x) % AT_ONCE if len(x) > AT_ONCE else 0:
+            x = np.concatenate([x, np.zeros((short, mixes), np.uint64)])
+        x = x.reshape(-1, min(len(x), AT_ONCE), mixes)
+        for bit in range(8):  # a byte counts up to 255 of the bits at its place
+            sums = ((x >> np.uint64(bit)) & lane).sum(axis=1)
+            out[:, bit::8] += sums.view(np.uint8).reshape(-1, mixes, 8).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def wide_fingerprint(text: str | None, words: int = 5, mixes: int = MIXES) -> np.ndarray:
+    """An unsigned 64-bit word for each mix; zeros for a text without words."""
+    return _print(text, words, mixes)[0]
+
+
+def _print(text: str | None, words: int, mixes: int) -> tuple[np.ndarray, int]:
+    h = _shingle_hashes(text, words)
+    if not len(h):
+        return np.zeros(mixes, np.uint64), 1
+    return np.packbits((_ones(h, mixes) * 2 > len(h)).reshape(-1), bitorder="little").view(np.uint64), len(h)
 
 
 def segments_of(f: np.ndarray, width: int) -> np.ndarray:
@@ -79,86 +127,192 @@ def segments_of(f: np.ndarray, width: int) -> np.ndarray:
     return bits[:, : n * width].reshape(len(f), n, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
 
 
-def largest_distance(similarity: float) -> int:
-    return int(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def largest_distance(similarity: float, bits: int = BITS) -> int:
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(len(MIXES))))
+def _distance(a: Column, b: Column, mixes: int) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(mixes)))
 
 
-def _fingerprints(texts: DataFrame, words: int, width: int) -> DataFrame:
-    """texts: node, text."""
+def _fingerprints(texts: DataFrame, words: int, mixes: int) -> DataFrame:
+    """texts: node, text.  node, m (distinct shingles) and f; one row a node."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            f = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).reshape(batch.num_rows, len(MIXES))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(f.view(np.int64)), pa.list_(pa.int64())), pa.array(list(segments_of(f, width)) if len(f) else [], pa.list_(pa.int64()))], ["node", "f", "segments"]
-            )
-
-    return texts.mapInArrow(run, "node long, f array<long>, segments array<long>")
+            got = [_print(t.as_py(), words, mixes) for t in batch.column(1)]
+            flat = np.concatenate([f for f, _ in got]) if got else np.zeros(0, np.uint64)
+            f = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * mixes), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for _, m in got], pa.int64()), f], ["node", "m", "f"])
 
+    rows = texts.mapInArrow(run, "node long, m long, f array<long>")
+    return rows.groupBy("node").agg(F.first("m").alias("m"), F.first("f").alias("f"))
 
-def _measured(pairs: DataFrame, prints: DataFrame, loose: int) -> DataFrame:
-    """pairs: u, v.  Those within ``loose`` bits, with their distance."""
-    own = pairs.join(prints.select(F.col("node").alias("u"), F.col("f").alias("fu")), "u").join(prints.select(F.col("node").alias("v"), F.col("f").alias("fv")), "v")
-    return own.select("u", "v", _distance(F.col("fu"), F.col("fv")).alias("d")).filter(F.col("d") <= loose)
 
+def _values(prints: DataFrame, width: int) -> DataFrame:
+    """node and key of every segment; a key is the segment's number and its value."""
 
-def _bucket_links(members: DataFrame, by: str, prints: DataFrame, middle: int, loose: int, pairs: DataFrame | None = None) -> DataFrame:
-    """members: distinct (by, node); pairs: more u < v to measure.  u < v and their distance, at most ``loose``: candidates that connect what meets in a bucket.
+    def run(batches):
+        import pyarrow as pa
 
-    The first leader of a bucket is its least node, so that two texts alone need no join.
-    """
-    met = materialize(members.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1"), "met")
-    more = materialize(members.join(met.filter("n > 2").select(by, "u"), by).filter("node <> u").select(by, "u", F.col("node").alias("v")), "members")
-    asked = met.filter("n = 2").select("u", "v").unionByName(more.select("u", "v"))
-    asked = (asked if pairs is None else asked.unionByName(pairs)).distinct()
-    found, leaders = [materialize(_measured(asked, prints, loose), "near")], 4
-    left = more.join(found[0].filter(F.col("d") <= middle).select("u", "v"), ["u", "v"], "left_anti").select(by, F.col("v").alias("node"))
-    sizes = left.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    left = materialize(left.join(sizes, by).join(prints.select("node", "f"), "node"), "left")
-    while True:
-        few = left.filter(F.col("n") <= SMALL)
-        a, b = few.select(by, F.col("node").alias("u"), F.col("f").alias("fu")), few.select(by, F.col("node").alias("v"), F.col("f").alias("fv"))
-        paired = a.join(b, by).filter("u < v").select("u", "v", _distance(F.col("fu"), F.col("fv")).alias("d"))
-        found.append(materialize(paired.filter(F.col("d") <= loose).distinct(), "near"))
-        many = left.filter(F.col("n") > SMALL)
-        if many.isEmpty():
-            break
-        first = Window.partitionBy(by).orderBy("node")
-        heads = many.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select(by, F.col("node").alias("u"), F.col("f").alias("fu"))
-        led = many.withColumnRenamed("node", "v").join(heads, by).withColumn("d", _distance(F.col("fu"), F.col("f")))
-        near = F.when((F.col("u") < F.col("v")) & (F.col("d") <= loose), F.struct("d", "u"))
-        judged = materialize(led.groupBy(by, "v").agg(F.min(near).alias("best"), F.max(F.when(F.col("u") == F.col("v"), 1).otherwise(0)).alias("head"), F.first("f").alias("f")), "judged")
-        found.append(materialize(judged.filter("best IS NOT NULL").select("best.u", "v", "best.d").distinct(), "led"))
-        rest = judged.filter(F.col("head") == 0).filter(F.col("best").isNull() | (F.col("best.d") > middle)).select(by, F.col("v").alias("node"), "f")
-        sizes = rest.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        left, leaders = materialize(rest.join(sizes, by), "left"), leaders * 4
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def _across(members: DataFrame, by: str, roots: DataFrame, prints: DataFrame, loose: int, side: str | None = None) -> DataFrame:
-    """members: distinct (by, node), and side where only texts of two sides meet; roots: node, root.  u < v of two classes that meet in a bucket, at most ``loose`` bits apart, with their distance.
-
-    No text stands for its class.  All pairs of two classes have a text outside the bucket's largest
-    class, so those texts are compared with the whole bucket.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            f = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            s = segments_of(f, width)
+            key = s + (np.arange(s.shape[1], dtype=np.int64) << width)
+            node = np.repeat(batch.column(0).to_numpy(), s.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node)], ["key", "node"])
+
+    return prints.select("node", "f").mapInArrow(run, "key long, node long")
+
+
+def _grown(batches, columns: int):
+    """Arrays of at least ROWS rows each time, and whether they are the last; what the caller sends back is put before the next."""
+    held, n, kept = [], 0, [np.zeros(0, np.int64)] * columns
+    for batch in batches:
+        held.append([batch.column(k).to_numpy() for k in range(columns)])
+        n += batch.num_rows
+        if n >= ROWS:
+            kept = yield [np.concatenate([kept[k], *(h[k] for h in held)]) for k in range(columns)], False
+            held, n = [], 0
+    yield [np.concatenate([kept[k], *(h[k] for h in held)]) for k in range(columns)], True
+
+
+def _neighbours(values: DataFrame) -> DataFrame:
+    """u < v that stand near each other under a key, and (edge) the first and last key of each partition.
+
+    The order is one over the cluster, by key and node, so that a key held by many texts takes as
+    many partitions as it needs.
     """
-    own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = own.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"))
-    bulk = classes.groupBy(by).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("bulk")).filter("k > 1 AND n > 2").select(by, "bulk")
-    met = materialize(own.join(bulk, by).join(prints.select("node", "f"), "node"), "classes-met")
-    at = F.col(side) if side else F.lit(None)
-    a = met.filter("root <> bulk").select(by, at.alias("sa"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("fa"))
-    b = met.select(F.col(by).alias("of"), at.alias("sb"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("fb"), "bulk")
-    d = _distance(F.col("fa"), F.col("fb"))
-    once = (F.col("rb") == F.col("bulk")) | (F.col("a") < F.col("b"))
-    apart = F.col("sa") != F.col("sb") if side else F.lit(True)
-    found = a.join(b, apart & (F.col(by) == F.col("of")) & (F.col("ra") != F.col("rb")) & once & (d <= loose))
-    return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), d.alias("d")).distinct()
+
+    def run(batches):
+        import pyarrow as pa
+
+        pairs: list = []
+        edges: list = []
+
+        def compare(key, node):
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
+            size = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+            for shift in range(1, SMALL):
+                same = (key[shift:] == key[:-shift]) & ((size[shift:] <= SMALL) | (shift <= 2))
+                at = np.flatnonzero(same)
+                if not len(at):
+                    break
+                pairs.append((node[at], node[at + shift]))
+
+        source = _grown(batches, 2)
+        (key, node), last = next(source)
+        if len(key):
+            edges.append(int(key[0]))
+        while True:
+            cut = len(key)
+            if not last:  # the last key may go on
+                cut = int(np.searchsorted(key, key[-1])) or len(key)
+                carry = cut if cut < len(key) else max(0, len(key) - 2)
+            compare(key[:cut], node[:cut])
+            if len(key):
+                end = int(key[-1])
+            if pairs:
+                u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "edge"])
+                pairs.clear()
+            if last:
+                break
+            (key, node), last = source.send([key[carry:], node[carry:]])
+        if edges:
+            edges.append(end)
+            yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), pa.array(edges)], ["u", "v", "edge"])
+
+    ordered = values.repartitionByRange(partitions(values.sparkSession), "key", "node").sortWithinPartitions("key", "node")
+    return ordered.mapInArrow(run, "u long, v long, edge long")
+
+
+def _one_bit_apart(keys: DataFrame, width: int) -> DataFrame:
+    """keys: distinct key.  a and b of all keys that differ in one bit of the value, b having it."""
+    low = width // 2
+    high = width - low
+    x = F.col("key").bitwiseAND(F.lit((1 << width) - 1))
+    segment = F.shiftleft(F.shiftright("key", width), width)
+    # Turned so that the half that varies stands last.
+    turned = segment + F.shiftleft(x.bitwiseAND(F.lit((1 << low) - 1)), high) + F.shiftright(x, low)
+    halves = keys.select(F.explode(F.array(F.struct(F.lit(0).alias("h"), F.col("key").alias("t")), F.struct(F.lit(1).alias("h"), turned.alias("t")))).alias("s")).select("s.h", "s.t")
+    halves = halves.withColumn("fixed", F.when(F.col("h") == 0, F.shiftright("t", low)).otherwise(F.shiftright("t", high)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        source = _grown(batches, 3)
+        (h, t, fixed), last = next(source)
+        while True:
+            # Only whole groups of one half and one fixed part.
+            cut = len(t)
+            if not last:
+                new = np.flatnonzero((h[1:] != h[:-1]) | (fixed[1:] != fixed[:-1]))
+                cut = int(new[-1]) + 1 if len(new) else 0
+            for half, bits in ((0, low), (1, high)):
+                own = t[:cut][h[:cut] == half]
+                for bit in range(bits if len(own) else 0):
+                    a = own[(own >> bit) & 1 == 0]
+                    b = a | (1 << bit)
+                    at = np.searchsorted(own, b)
+                    found = own[np.minimum(at, len(own) - 1)] == b
+                    a, b = a[found], b[found]
+                    if half:
+                        a, b = ((y >> width << width) + ((y & ((1 << high) - 1)) << low) + ((y >> high) & ((1 << low) - 1)) for y in (a, b))
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if last:
+                return
+            h, t, fixed = h[cut:], t[cut:], fixed[cut:]
+            (h, t, fixed), last = source.send([h, t, fixed])
+
+    dealt = halves.repartition(partitions(keys.sparkSession), "h", "fixed").sortWithinPartitions("h", "t")
+    return dealt.select(F.col("h").cast("long").alias("h"), "t", "fixed").mapInArrow(run, "a long, b long")
+
+
+class _Test:
+    """What a pair of texts needs to be a candidate, and when it needs no look at the texts."""
+
+    def __init__(self, similarity: float, mixes: int):
+        self.similarity, self.mixes = similarity, mixes
+        middle = largest_distance(similarity, 64 * mixes)
+        deviation = math.sqrt(middle * (1 - middle / (64 * mixes)))
+        self.loose, self.sure = int(middle + 3 * deviation), int(middle - 4 * deviation)
+
+    def measured(self, fu: Column, fv: Column, mu: Column, mv: Column) -> tuple[Column, Column, Column]:
+        """Distance, whether they may resemble each other, whether they surely do."""
+        d = _distance(fu, fv, self.mixes)
+        long = F.least(mu, mv) > SHORT
+        may = (F.least(mu, mv) >= F.greatest(mu, mv) * self.similarity) & ((d <= self.loose) | ~long)
+        return d, may, may & long & (d <= self.sure)
+
+    def of_pairs(self, pairs: DataFrame, prints: DataFrame) -> DataFrame:
+        """pairs: u, v.  Candidates, and whether they are sure."""
+        a, b = (prints.select(F.col("node").alias(x), F.col("m").alias(f"m{x}"), F.col("f").alias(f"f{x}")) for x in "uv")
+        _, may, sure = self.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
+        return pairs.join(a, "u").join(b, "v").filter(may).select("u", "v", sure.alias("sure"))
+
+
+def _meetings(met: DataFrame, values: DataFrame, roots: DataFrame, prints: DataFrame, test: _Test) -> DataFrame:
+    """met: distinct (a, b), keys that are equal or one bit apart.  Candidates of two classes that meet there."""
+    sides = met.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
+    own = sides.join(values, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(prints, "node")
+    own = materialize(own.select("a", "b", "key", "node", "root", "m", "f"), "meetings")
+    classes = own.groupBy("a", "b", "root").agg(F.count(F.lit(1)).alias("n"))
+    bulk = classes.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    bulk = bulk.select("a", "b", F.col("top.root").alias("bulk"), F.ceil((F.col("n") - F.col("top.n")) / LANE).cast("int").alias("lanes")).filter("lanes > 0")
+    x = own.join(bulk, ["a", "b"])
+    outside = x.filter("root <> bulk").select("a", "b", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int").alias("lane"), *[F.col(c).alias(f"{c}u") for c in ("key", "node", "root", "m", "f")])
+    everyone = x.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "bulk", *[F.col(c).alias(f"{c}v") for c in ("key", "node", "root", "m", "f")])
+    _, may, sure = test.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
+    apart = (F.col("a") == F.col("b")) | (F.col("keyu") != F.col("keyv"))
+    once = (F.col("rootv") == F.col("bulk")) | (F.col("nodeu") < F.col("nodev"))
+    found = outside.join(everyone, ["a", "b", "lane"]).filter(apart & (F.col("rootu") != F.col("rootv")) & once & may)
+    return found.select(F.least("nodeu", "nodev").alias("u"), F.greatest("nodeu", "nodev").alias("v"), sure.alias("sure"))
 
 
 def _shingles(text: str | None, words: int) -> set:
@@ -166,9 +320,8 @@ def _shingles(text: str | None, words: int) -> set:
     return set(zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else {tuple(w)}
 
 
-def _resembling(candidates: DataFrame, texts: DataFrame, words: int, similarity: float, sure: int) -> DataFrame:
-    """u < v of the candidates; those of more than ``sure`` bits only if their shingles are as similar as that."""
-    doubtful = candidates.filter(F.col("d") > sure).select("u", "v")
+def _resembling(doubtful: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u < v of the pairs whose shingles are as similar as that."""
     asked = doubtful.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     whole = materialize(texts.join(asked, "node").groupBy("node").agg(F.first("text").alias("text")), "doubtful-texts")
 
@@ -187,55 +340,44 @@ def _resembling(candidates: DataFrame, texts: DataFrame, words: int, similarity:
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     with_texts = doubtful.join(whole.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    checked = with_texts.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-    return materialize(candidates.filter(F.col("d") <= sure).select("u", "v").unionByName(checked), "resembling")
-
-
-def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, width: int) -> DataFrame:
-    """prints: distinct node, with f and segments; texts: node, text.  u < v: links that connect what resembles each other."""
-    middle = largest_distance(similarity)
-    deviation = math.sqrt(middle * (1 - middle / BITS))
-    loose, sure = int(middle + 3 * deviation), int(middle - 4 * deviation)
-
-    def resembling(members: DataFrame, by: str, pairs: DataFrame | None = None) -> DataFrame:
-        return _resembling(materialize(_bucket_links(members, by, prints, middle, loose, pairs), "candidates"), texts, words, similarity, sure)
-
-    values = prints.select("node", F.posexplode("segments").alias("s", "x")).select("node", (F.col("s").cast("long") * (1 << width) + F.col("x")).alias("key"))
-    near = resembling(values, "key")
-    # Whoever resembles a leader may resemble others that the leader doesn't.
-    rest = materialize(_across(values, "key", components(near), prints, loose), "candidates")
-    near = near.unionByName(_resembling(rest, texts, words, similarity, sure))
-    held = values.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = materialize(held.groupBy("key", "root").agg(F.min("node").alias("node")), "held")
-    known = held.select("key").distinct()
-    variants = F.array(*[F.col("key").bitwiseOR(F.lit(1 << bit)) for bit in range(width)])
-    asked = known.select("key", F.posexplode(variants).alias("bit", "name")).filter("name <> key").select("name", "bit")
-    # A variant's number: the value whose bit is set, and which bit.
-    pairs = materialize(asked.join(known.withColumnRenamed("key", "name"), "name").select("name", "bit", (F.col("name") * 64 + F.col("bit")).alias("pair")), "variants")
-    unset = F.expr("name ^ shiftleft(1L, bit)")
-    sides = materialize(pairs.select("pair", F.explode(F.array("name", unset)).alias("key")).join(held, "key").select("pair", "root", "node"), "sides")
-    # Classes that meet; a text of two classes' values is on one side only, as the values differ.
-    several = sides.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("z"), F.min("node").alias("u"), F.max("node").alias("v")).filter("a <> z")
-    several = materialize(several, "several")
-    across = resembling(sides.join(several.filter("n > 2").select("pair"), "pair").select("pair", "node"), "pair", several.filter("n = 2").select("u", "v"))
-    near = materialize(near.unionByName(across).distinct(), "links")
-    # A class's least text need not resemble what its other texts do: whoever meets in two classes still is compared.
-    roots = components(near)
-    ends = pairs.select("pair", F.explode(F.array("name", unset)).alias("key"))
-    classes = values.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")).distinct()
-    apart = ends.join(classes, "key").groupBy("pair").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("pair")
-    members = ends.join(apart, "pair").join(values, "key").select("pair", "key", "node")
-    rest = materialize(_across(members, "pair", roots, prints, loose, "key"), "candidates")
-    return near.unionByName(_resembling(rest, texts, words, similarity, sure)).distinct()
-
-
-def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 26) -> DataFrame:
+    return with_texts.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, width: int, mixes: int) -> DataFrame:
+    """prints: distinct node, with m and f; texts: node, text.  u, v: links that connect what resembles each other."""
+    test = _Test(similarity, mixes)
+    values = materialize(_values(prints, width), "segment-values")
+    near = materialize(_neighbours(values), "neighbours")
+    first = materialize(test.of_pairs(near.filter("u IS NOT NULL").select("u", "v").distinct(), prints), "near")
+    # Classes of what is surely near, to spare comparisons within large groups.
+    roots = components(first.filter("sure").select("u", "v"))
+    keys = values.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("key")
+    keys = materialize(keys.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("root").alias("least"), F.max("root").alias("most")), "keys")
+    a, b = (keys.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "node", "least", "most")]) for x in "ab")
+    apart = _one_bit_apart(keys.select("key"), width).join(a, "a").join(b, "b").filter(F.least("least_a", "least_b") < F.greatest("most_a", "most_b"))
+    apart = materialize(apart.select("a", "b", ((F.col("n_a") == 1) & (F.col("n_b") == 1)).alias("two"), F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")), "values-met")
+    # Keys whose texts weren't all compared; two edges a partition at most.
+    edges = near.filter("edge IS NOT NULL").select(F.col("edge").alias("key"), F.lit(True).alias("edge")).distinct()
+    alone = keys.filter("least < most").join(F.broadcast(edges), "key", "left").filter((F.col("n") > SMALL) | F.col("edge"))
+    met = apart.filter("NOT two").select("a", "b").unionByName(alone.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    found = test.of_pairs(apart.filter("two").select("u", "v").distinct(), prints).unionByName(_meetings(met, values, roots, prints, test))
+    more = materialize(found.groupBy("u", "v").agg(F.max("sure").alias("sure")), "near")
+    # Doubtful pairs of one class decide nothing.
+    ru, rv = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    open_ = first.filter("NOT sure").join(ru, "u", "left").join(rv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    doubtful = materialize(open_.unionByName(more.filter("NOT sure").select("u", "v")).distinct(), "doubtful")
+    known = roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more.filter("sure").select("u", "v"))
+    return known.unionByName(_resembling(doubtful, texts, words, similarity))
+
+
+def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int | None = None, mixes: int | None = None) -> DataFrame:
     """text_key and class of each distinct text that resembles another; class is the least text_key."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Copies of a text meet here, combined on the map side.
+    w, m = shape(docs.count(), similarity)
+    w, m = width or w, mixes or m
     texts = docs.select(F.xxhash64(text).alias("node"), "text")
-    prints = materialize(materialize(_fingerprints(texts, words, width), "wide").dropDuplicates(["node"]), "wide-distinct")
-    return components(links(prints, texts, words, similarity, width)).select(F.col("node").alias("text_key"), F.col("root").alias("class"))
+    prints = materialize(_fingerprints(texts, words, m), "wide")
+    return components(links(prints, texts, words, similarity, w, m)).select(F.col("node").alias("text_key"), F.col("root").alias("class"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
@@ -246,8 +388,9 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     classes = near_classes(docs, **options)
     own, names, back = shielded(docs)
     own = own.withColumn("__key", F.xxhash64(F.coalesce(F.col(names["text"]), F.lit(""))))
-    ids = materialize(own.select(F.col(names["doc_id"]).alias("__id"), "__key").groupBy("__key").agg(F.min(F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("i"))).alias("__least")), "near-ids")
-    members = classes.join(ids, F.col("text_key") == F.col("__key")).select("text_key", "class", F.struct("__least", "text_key").alias("__who"))
-    stay = members.groupBy("class").agg(F.min("__who").alias("__stay")).select(F.col("__stay.text_key").alias("__stays"))
-    gone = members.join(stay, F.col("text_key") == F.col("__stays"), "left_anti").select(F.col("text_key").alias("__gone")).distinct()
+    ids = own.select(F.col(names["doc_id"]).alias("__id"), "__key").join(classes.select(F.col("text_key").alias("__key"), "class"), "__key")
+    ids = ids.groupBy("__key").agg(F.first("class").alias("class"), F.min(F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("i"))).alias("__least"))
+    members = materialize(ids.select("__key", "class", F.struct("__least", "__key").alias("__who")), "near-ids")
+    stay = members.groupBy("class").agg(F.min("__who").alias("__stay")).select(F.col("__stay.__key").alias("__stays"))
+    gone = members.join(stay, F.col("__key") == F.col("__stays"), "left_anti").select(F.col("__key").alias("__gone"))
     return own.join(gone, F.col("__key") == F.col("__gone"), "left_anti").select(*back)
