@@ -31,9 +31,9 @@ WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 CHAR_BUCKETS, OOV_BUCKETS, VOCABULARY = 1024, 512, 20_000
 #: Windows that go through the network at a time.
-WINDOWS_AT_ONCE = 512
-#: Texts whose words are numbered together.
-AT_ONCE = 1024
+WINDOWS_AT_ONCE, HEATED_AT_ONCE = 512, 8192
+#: Texts, and characters of texts, whose words are numbered together; words whose bigrams are.
+AT_ONCE, CHARS_AT_ONCE, WORDS_AT_ONCE = 1024, 4 << 20, 1 << 15
 _BLANK = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
 
 
@@ -77,10 +77,11 @@ class Model:
         """Vectors of distinct words, and a last row of zeros for what isn't there."""
         out = np.zeros((len(distinct) + 1, WORD_DIM + CHAR_DIM), np.float32)
         if distinct:
-            grams, sizes = _bigrams(distinct)
-            sums = np.add.reduceat(self.p["chars"].take(grams, axis=0), np.cumsum(sizes) - sizes, axis=0)
             out[:-1, :WORD_DIM] = self.p["words"][self.word_ids(distinct)]
-            out[:-1, WORD_DIM:] = sums / sizes[:, None]
+            for k in range(0, len(distinct), WORDS_AT_ONCE):
+                grams, sizes = _bigrams(distinct[k : k + WORDS_AT_ONCE])
+                sums = np.add.reduceat(self.p["chars"].take(grams, axis=0), np.cumsum(sizes) - sizes, axis=0)
+                out[k : k + len(sizes), WORD_DIM:] = sums / sizes[:, None]
         return out
 
     def logits(self, ids: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -234,6 +235,14 @@ def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
     return _sigmoid(best.astype(float))
 
 
+def _heat(model: Model, distinct: list[bytes], windows: np.ndarray) -> np.ndarray:
+    """Logits of windows, with inputs of their own words only."""
+    used, at = np.unique(windows, return_inverse=True)
+    first = int(used[0] < 0)
+    table = model.inputs([distinct[i] for i in used[first:]])
+    return model.logits(at.reshape(windows.shape) - first, table)
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = 10, seed: int = 11, rate: float = 0.02) -> Model:
     """Adam over the window that now stands for each document."""
     y = np.array(labels, np.float32)
@@ -266,14 +275,14 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 10, seed: in
     warm = np.append(odds, 0).clip(0).astype(np.float32)
     heat = np.concatenate([np.where(part >= 0, warm[part], 0).sum(axis=1) for part in np.array_split(windows, -(-len(windows) // AT_ONCE))])
     m1, m2, step = {x: np.zeros_like(v) for x, v in p.items()}, {x: np.zeros_like(v) for x, v in p.items()}, 0
-    flat, sizes = _bigrams(distinct)
-    of = np.repeat(np.arange(len(distinct)), sizes)
+    flat, sizes = (x.astype(np.int32) for x in _bigrams(distinct))
+    begins = np.cumsum(sizes) - sizes
     word_ids = model.word_ids(distinct)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32) ** 0.5
     size = max(16, min(256, len(y) // 16))  # small samples still make enough steps
     for epoch in range(epochs):
         if epoch in (2, 6):
-            heat = model.logits(windows, model.inputs(distinct))
+            heat = np.concatenate([_heat(model, distinct, part) for part in np.array_split(windows, -(-len(windows) // HEATED_AT_ONCE))])
         chosen = np.array([a + int(heat[a:z].argmax()) for a, z in zip(first, [*first[1:], len(owner)], strict=True)])
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // size)):
             w = windows[chosen[batch]]
@@ -291,8 +300,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 10, seed: in
                 g[f"W{x}"], g[f"b{x}"] = table.T @ dg, dg.sum(axis=0)
                 d_table += dg @ p[f"W{x}"].T
             np.add.at(g["words"], word_ids[used], d_table[:-1, :WORD_DIM])
-            pick = np.isin(of, used)
-            np.add.at(g["chars"], flat[pick], d_table[local[of[pick]], WORD_DIM:] / sizes[of[pick]][:, None])
+            own = sizes[used]
+            at = np.arange(own.sum()) + np.repeat(begins[used] - (np.cumsum(own) - own), own)  # the bigrams of the words used
+            np.add.at(g["chars"], flat[at], np.repeat(d_table[:-1, WORD_DIM:] / own[:, None], own, axis=0))
             step += 1
             lr = rate * (1 - 0.8 * epoch / epochs)
             for x in p:
@@ -320,8 +330,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_doc
     if not chosen:
         return train([], [])
     picked = docs.sparkSession.createDataFrame(sorted(chosen), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __key long")
-    taken = found.join(F.broadcast(picked), ["doc_id", "__key"]).dropDuplicates(["doc_id", "__key"]).orderBy(*order).select("text", "__y").collect()
-    return train([r["text"] for r in taken], [int(r["__y"]) for r in taken])
+    taken = found.join(F.broadcast(picked), ["doc_id", "__key"]).dropDuplicates(["doc_id", "__key"]).orderBy(*order).select("text", "__y").toArrow()
+    return train(taken.column(0).to_pylist(), [int(y) for y in taken.column(1).to_pylist()])
+
+
+def _pieces(batch, at: int):
+    """Slices of a batch of a bounded number of texts and characters; one text at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k = 0
+    while k < batch.num_rows:
+        room = (ends[k - 1] if k else 0) + CHARS_AT_ONCE
+        z = min(k + AT_ONCE, max(k + 1, int(np.searchsorted(ends, room, "right"))))
+        yield batch.slice(k, z - k)
+        k = z
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -333,8 +356,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(k, AT_ONCE)
+            for part in _pieces(batch, 1):
                 score = score_texts(sent.value, part.column(1).to_pylist())
                 held = [fold_of(x) == 0 for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
@@ -354,8 +376,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(k, AT_ONCE)
+            for part in _pieces(batch, at):
                 yield part.filter(pa.array(score_texts(sent.value, part.column(at).to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
