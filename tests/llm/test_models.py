@@ -96,10 +96,107 @@ def test_speller_is_a_distribution():
     assert list(starts) == [0, 5, 11, 16, 22] and len(keys) == sum(sizes + 1)
     own, n = np.unique(keys, return_counts=True)
     s = lm.Speller(own, n, 1)
-    for p in s.dense():
-        assert p.sum(axis=1) == pytest.approx(1)
-    table = s.log_table()
-    assert (lm.spell_probabilities(table, keys, starts) > lm.spell_probabilities(table, *lm.spelled(np.frombuffer(b"zzzzz", np.uint8), np.array([5])))[0]).all()
+    every = np.arange(lm.CLASSES**lm.ORDER * lm.BYTES)[: 40 * lm.BYTES]
+    for order in range(lm.ORDER + 1):  # contexts that occur, and some that don't
+        for context in [*s.contexts[lm.ORDER - order], *range(min(3, lm.CLASSES**order))]:
+            assert np.exp(s._log(every[: lm.BYTES] + context * lm.BYTES, order)).sum() == pytest.approx(1)
+    p = s.log_probabilities(np.frombuffer(b"".join(words), np.uint8), sizes)
+    assert (p > s.log_probabilities(np.frombuffer(b"zzzzz", np.uint8), np.array([5]))[0]).all()
+    for k in range(lm.ORDER):  # a level's tables are the next one's customers
+        assert s.seats[k].t.sum() == s.seats[k + 1].n.sum()
+
+
+def test_gibbs_agrees_with_one_customer_at_a_time():
+    """Numbers of tables after many sweeps, against a plain loop over customers of two dishes of one restaurant."""
+    n, base, d = np.array([12, 5]), np.array([0.3, 0.05]), 0.6
+    rng, seen = np.random.default_rng(3), []
+    copies = 4000
+    seats = lm.Seats.start(rng, np.tile(n, copies), np.tile(base, copies), d, 1.0)
+    for _ in range(40):
+        t = seats.t.reshape(copies, 2)
+        seats.sweep(rng, np.tile(base, copies), d, t[:, ::-1].reshape(-1))
+    assert (seats.n.reshape(copies, 2) == n).all() and seats.sizes.sum() == n.sum() * copies and (seats.sizes > 0).all()
+    own = [[1] * x for x in n]
+    for sweep in range(12_000):
+        for w in (0, 1):
+            for _ in range(n[w]):
+                k = rng.choice(len(own[w]), p=np.array(own[w]) / n[w])
+                own[w][k] -= 1
+                own[w] = [x for x in own[w] if x]
+                weights = np.array([*(x - d for x in own[w]), (1 + d * (len(own[0]) + len(own[1]))) * base[w]])
+                k = rng.choice(len(weights), p=weights / weights.sum())
+                own[w] = own[w] + [1] if k == len(own[w]) else [x + (i == k) for i, x in enumerate(own[w])]
+        if sweep > 100:
+            seen.append((len(own[0]), len(own[1])))
+    assert seats.t.reshape(copies, 2).mean(axis=0) == pytest.approx(np.mean(seen, axis=0), rel=0.06)
+
+
+def test_seats_follow_their_customers():
+    rng = np.random.default_rng(5)
+    n = rng.integers(0, 60, 500)
+    seats = lm.Seats.start(rng, n, np.full(500, 0.1), 0.5, 10.0)
+    for new in (rng.integers(0, 60, 500), np.zeros(500, np.int64), np.full(500, 3000)):
+        seats.follow(rng, new, np.full(500, 0.1), 0.5, np.full(500, 10.0))
+        flat = np.where(new > 1, seats.t, 0)
+        sums = np.add.reduceat(np.append(seats.sizes, 0), np.cumsum(flat) - flat) if flat.any() else flat
+        assert (seats.n == new).all() and (sums[new > 1] == new[new > 1]).all() and ((seats.t > 0) == (new > 0)).all()
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over all words behind every context: the known ones and the mass of all others."""
+    import random
+
+    rng = random.Random(2)
+    train = [i for i in range(400) if lm.fold_of(i) != 1]
+    held = next(i for i in range(400) if lm.fold_of(i) == 1)
+    names = ["aa", "b", "cc", "d", "never"]
+    docs = [(i, " ".join(rng.choices(names[:4], [8, 4, 2, 1], k=30))) for i in train[:60]]
+    docs.append((held, " ".join(f"{u} {v}" for u in names for v in names)))  # every pair is asked for
+    model, blocks, priced = lm.sample_model(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    row, got = blocks.collect()[0], {"word": {}, "pair": {}}
+    for r in priced.collect():
+        got[r["kind"]][r["src"]] = r["x"]
+    b = lm._Block(row["words"], row["lengths"], row["counts"])
+    c, *logs = lm._word_logs(b, got["word"], model.word_parts)
+    _, pair, _ = b.pairs(row["lids"], row["sizes"], row["held"])
+    own = np.unique(pair)
+    p = np.exp(lm._pair_logs(b, own, got["pair"], logs, model.hot, model.pair_parts, model.d_pairs))
+    for u in range(len(b.hashes)):
+        here = own // len(b.hashes) == u
+        there = own[here] % len(b.hashes)
+        if len(there) < len(b.hashes) - 1:  # nearly all words stand behind it, as the held-out text has all pairs
+            continue
+        assert 0.5 < p[here].sum() <= 1 + 1e-9
+    for s, (customers, tables) in enumerate(model.word_totals):
+        assert customers >= tables > 0
+        mass = np.exp(logs[s][c > 0]).sum()
+        assert 0.9 < mass < 1  # what is left is the mass of unknown words, spelled
+    # Contexts' own sums: customers less discounts, and the rest times the parent's probability of all words.
+    ((src, x),) = got["pair"].items()
+    assert src == 0 and len(x) == 3 + 2 * len(logs) + 0
+
+
+def test_scores_do_not_depend_on_partitions_and_order_counts(spark):
+    import random
+
+    rng = random.Random(9)
+    follow = {w: rng.sample(range(60), 3) for w in range(60)}
+    docs = []
+    for i in range(400):
+        w = [rng.randrange(60)]
+        while len(w) < 40:
+            w.append(rng.choice(follow[w[-1]]))
+        docs.append((i, " ".join(f"word{x}" for x in w)))
+    held = [i for i, _ in docs if lm.fold_of(i) == 1]
+    mixed = [(10_000 + i, " ".join(rng.sample(t.split(), 40))) for i, t in docs]
+    mixed = [(i, t) for i, t in mixed if lm.fold_of(i) == 1]
+    df = spark.createDataFrame(docs + mixed, "doc_id long, text string")
+    one = {r.doc_id: r for r in lm.score_documents(df.repartition(1)).collect()}
+    seven = {r.doc_id: r for r in lm.score_documents(df.repartition(7, "text")).collect()}
+    assert one.keys() == seven.keys() and all(one[i].score == pytest.approx(seven[i].score, rel=1e-9) for i in one)
+    mean = lambda ids, k: np.mean([one[i][k] for i in ids])
+    # The model knows what follows what: three in sixty, so about 0.5 of 1.8 digits a word.
+    assert mean(held, "score") > 0.5 * mean(held, "base_score") and mean([i for i, _ in mixed], "score") < 1.5 * mean(held, "score")
 
 
 def test_seating_follows_the_process():
