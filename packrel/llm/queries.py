@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from .common import table
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
 
-#: The surrogates' key; a deployment sets its own.
-PII_KEY = "packrel-surrogates"
+#: The setting that holds the surrogates' key.
+PII_KEY = "spark.packrel.pii.key"
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +67,9 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the setting ``spark.packrel.pii.key``; where it is unset, one is drawn for this run and kept nowhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_entities(docs, PII_KEY)
+    return pii.replace_entities(docs, spark.conf.get(PII_KEY, None) or secrets.token_hex(32))
 
 
 def queries():
