@@ -5,11 +5,14 @@ between blanks, then finds every place where a phrase's words stand consecutivel
 included.  Base phrases give the base columns.  The method adds more notice phrases and identifier
 tags ("SPDX-License-Identifier: ..."): the expression behind a tag is cut into identifiers, AND,
 OR, WITH and brackets, brought to postfix by the shunting-yard algorithm (WITH binds closest, then
-AND, then OR) and evaluated to the licences it names and the sets that satisfy it.
+AND, then OR) and evaluated: to the licences it names, and (``permits``) to whether given licences
+satisfy it.  The automaton also tells where tags stand; a second one, run over the texts that hold
+one, gives their places in the text as it is written.  All of it is linear in the text.
 
-Defined cases: null and empty texts have no words, no places and no labels ('' and null); a tag
-whose expression can't be parsed gives no label; every row is scanned, repeated ones too; other
-columns are not read.
+Defined cases: null and empty texts have no words, no places and no labels ('' and null); of what
+stands behind a tag the longest well-formed expression up to the line's end counts, however long,
+and a tag without one gives no label; every row is scanned, repeated ones too; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -44,7 +47,12 @@ NOTICES = {
 }
 #: Labels of identifiers whose version isn't part of the label.
 IDENTIFIERS = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3", "mpl-2.0": "mpl-2", "bsl-1.0": "bsl-1", "cc0-1.0": "cc0"}
-TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n\"'<>*]*)")
+#: The words of an identifier tag, as they stand among a text's words, and the tag as it is written.
+TAG_WORDS, TAG = "spdx license identifier", "spdx-license-identifier:"
+#: An expression ends with its line, at the latest.
+_LINE_END = re.compile(rb"[\r\n\x0b\x0c\"'<>*]")
+_TOKEN = re.compile(r"[()]|[^\s()]+")
+_IDENTIFIER = re.compile(r"[a-z0-9][a-z0-9.+:-]*\Z")
 #: ASCII that is neither digit nor letter parts words.
 _BLANK = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
 PRIORITY = {"or": 1, "and": 2, "with": 3}
@@ -110,6 +118,73 @@ def evaluate(expression: str) -> tuple[frozenset[str], frozenset[frozenset[str]]
     return stack[0]
 
 
+def permits(order: list[str], allowed: frozenset[str] | set[str]) -> bool:
+    """Whether the licences in ``allowed`` satisfy an expression in postfix order; one step a token."""
+    stack: list[bool] = []
+    for token in order:
+        if token not in PRIORITY:
+            stack.append(token in allowed)
+            continue
+        b, a = stack.pop(), stack.pop()
+        stack.append(a if token == "with" else a or b if token == "or" else a and b)
+    return stack[0]
+
+
+def named(order: list[str]) -> set[str]:
+    """The licences, without exceptions, that an expression in postfix order names."""
+    stack: list[list[str]] = []  # what each operand begins with; an exception is one token before WITH
+    out: set[str] = set()
+    for token in order:
+        if token not in PRIORITY:
+            stack.append([token])
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            out.update(a)
+            stack.append([])
+        else:
+            out.update(a, b)
+            stack.append([])
+    out.update(*stack)
+    return out
+
+
+def longest_expression(line: str) -> str:
+    """The longest well-formed expression that a line begins with, '' if there is none.
+
+    One pass: a place ends an expression if an operand has just been completed outside brackets.
+    """
+    end = depth = 0
+    operand = True
+    for m in _TOKEN.finditer(line):
+        token = m[0].lower()
+        if token == "(":
+            if not operand:
+                break
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif token in PRIORITY:
+            if operand:
+                break
+            operand = True
+        else:
+            bare = token.rstrip(".,;:")
+            if not operand or not _IDENTIFIER.match(bare):
+                break
+            operand = False
+            if not depth:
+                end = m.start() + len(bare)
+            if bare != token:  # punctuation ends the expression
+                break
+            continue
+        if not operand and not depth:
+            end = m.end()
+    return line[:end].strip()
+
+
 def label_of(identifier: str) -> str:
     bare = re.sub(r"(-only|-or-later|\+)$", "", identifier)
     return IDENTIFIERS.get(bare, bare)
@@ -122,20 +197,38 @@ def _automaton(phrases: tuple[tuple[str, str, bool], ...]):
     found = ahocorasick.Automaton()
     for phrase, label, base in phrases:
         found.add_word(f" {phrase} ", (len(phrase) + 2, label, base))
+    found.add_word(f" {TAG_WORDS} ", (0, "", False))
+    found.make_automaton()
+    return found
+
+
+@lru_cache(maxsize=1)
+def _tag_automaton():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    found.add_word(TAG, len(TAG))
     found.make_automaton()
     return found
 
 
-@lru_cache(maxsize=4096)
-def _expression(text: str):
-    return evaluate(text)
+def tags_of(text: str) -> list[tuple[str, list[str]]]:
+    """Expressions behind the identifier tags of a text, and their postfix order."""
+    raw = text.encode().lower()
+    out = []
+    for last, _ in _tag_automaton().iter(raw.decode("latin-1")):
+        stop = _LINE_END.search(raw, last + 1)
+        expression = longest_expression(raw[last + 1 : stop.start() if stop else len(raw)].decode("utf-8", "replace"))
+        if expression and (order := postfix(expression)):
+            out.append((expression, order))
+    return out
 
 
 def scan(text: str | None, base: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> dict:
     """n_words, base places [(first word, label)], labels of notices, evaluated tags and a score.
 
-    score: 1 for a parsed identifier tag, 0.9 for a notice or base phrase, 0.3 where a text only
-    speaks of a licence, else 0.
+    score: 1 for a parsed identifier tag; else each label found by a phrase leaves a fifth of the
+    doubt, and the mere word a further three fifths of it.
     """
     base, notices = BASE if base is None else base, NOTICES if notices is None else notices
     known = {p for p in base}
@@ -143,7 +236,7 @@ def scan(text: str | None, base: dict[str, str] | None = None, notices: dict[str
     w = words(text)
     joined = b" " + b" ".join(w) + b" "
     plain = joined.decode("latin-1")  # one character a byte; the phrases are ASCII
-    places, more, tags = [], set(), []
+    places, more, tagged = [], set(), False
     at = word = 0
     for end, (n, label, is_base) in automaton.iter(plain):
         if is_base:
@@ -153,16 +246,16 @@ def scan(text: str | None, base: dict[str, str] | None = None, notices: dict[str
             word += joined.count(b" ", at, start)
             at = start
             places.append((word, label))
-        else:
+        elif label:
             more.add(label)
-    if b" spdx license identifier " in joined:
-        for m in TAG.finditer((text or "").encode().lower()):
-            raw = re.sub(r"(--%>|-->|\*/|[\s#;.,])+$", "", m[1].decode("utf-8", "replace")).strip()
-            if len(raw) <= 1000 and (got := _expression(raw)):
-                tags.append((raw, got))
-                more |= {label_of(x) for x in got[0]}
+        else:
+            tagged = True
     labels = more | {x for _, x in places}
-    score = 1.0 if tags else 0.9 if labels else 0.3 if b" license " in joined or b" licence " in joined else 0.0
+    doubt = 0.2 ** len(labels) * (0.6 if b" license " in joined or b" licence " in joined else 1.0)
+    tags = tags_of(text or "") if tagged else []
+    for _, order in tags:
+        labels |= {label_of(x) for x in named(order)}
+    score = 1.0 if tags else 1.0 - doubt
     return {"n_words": len(w), "places": places, "labels": labels, "tags": tags, "score": score}
 
 

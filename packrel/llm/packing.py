@@ -28,13 +28,25 @@ from .common import lanes, materialize
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SPECIAL = "<|endoftext|>"
+SPECIAL, RUN = "<|endoftext|>", 1000
+
+
+def _long_run(text: str) -> bool:
+    """Whether a run of letters, or of blanks, may be longer than RUN."""
+    if len(text) <= RUN:
+        return False
+    sizes = [*map(len, text.split())]
+    return max(sizes, default=0) > RUN or len(text) - sum(sizes) - len(sizes) > RUN
 
 
 @lru_cache(maxsize=2)
 def _encoder(ranks_path: str, json_path: str):
-    """Text -> ids.  The ranks give the JSON tokenizer's ids several times faster; texts that
-    spell its special token go to that tokenizer itself."""
+    """Text -> ids of the JSON tokenizer.
+
+    The ranks of the same vocabulary give the same ids several times faster.  The JSON tokenizer
+    itself takes texts that spell its special token or hold runs too long for the other's pattern,
+    and all that the other fails on.
+    """
     import base64
 
     import public_tokenizers
@@ -45,7 +57,18 @@ def _encoder(ranks_path: str, json_path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(json_path)
-    return lambda s: slow.encode(s, add_special_tokens=False).ids if SPECIAL in s else fast.encode_ordinary(s)
+
+    def encode(text: str) -> list[int]:
+        if SPECIAL not in text and not _long_run(text):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as e:
+                # A failure within that library is no Exception; interrupts and exits are passed on.
+                if type(e).__name__ != "PanicException" and not isinstance(e, Exception):
+                    raise
+        return slow.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -214,7 +237,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 40,
 def pack(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialize(tokenize_pieces(docs, capacity, **options).withColumn("__lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lanes(spark)))), "pieces")
+    # Lanes go by row, so that a row that is repeated very often fills them evenly; they are written with the rows.
+    pieces = materialize(tokenize_pieces(docs, capacity, **options).withColumn("__lane", F.pmod(F.monotonically_increasing_id(), F.lit(lanes(spark)))), "pieces")
     counts = pieces.groupBy("length", "__lane").agg(F.count(F.lit(1)).alias("__n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__n")).collect()}  # at most ``capacity`` rows
     segments, _ = plan(histogram, capacity)

@@ -71,7 +71,8 @@ def assign_shards(docs: DataFrame, tree: Tree = EIGHT, bigger: Tree | None = Non
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null without ``bigger``).
 
     Slots count from 0 in each shard.  They come from two levels, counts of (shard, lane) and row
-    numbers within, so that no shard passes through one task.
+    numbers within, so that no shard passes through one task.  Lanes go by row, and are written with
+    the rows, so that a row that is repeated very often fills them evenly.
     """
     n = lanes(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -84,7 +85,7 @@ def assign_shards(docs: DataFrame, tree: Tree = EIGHT, bigger: Tree | None = Non
             F.lit("key").alias("law"),
             place(key, tree).alias("shard"),
             (place(key, bigger) if bigger else F.lit(None).cast("int")).alias("grown_shard"),
-        ).withColumn("__lane", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n))),
+        ).withColumn("__lane", F.pmod(F.monotonically_increasing_id(), F.lit(n))),
         "shards",
     )
     counts = rows.groupBy("shard", "__lane").agg(F.count(F.lit(1)).alias("__n"))

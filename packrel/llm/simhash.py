@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lanes, materialize, shielded, spread_join
+from .common import lanes, materialize, partitions, shielded, spread_join
 from .components import components
 
 HEAVY = 64
@@ -85,14 +85,15 @@ def _signatures(fp: Column) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """fps: distinct fp.  u < v: links that connect all fingerprints within 2 bits of one another."""
-    index = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
+    # Dealt out before it grows: adaptive planning would leave the few bytes of ``fps`` to a few tasks.
+    index = fps.repartition(partitions(fps.sparkSession), "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     met = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(index.join(met, "key"), "buckets")
     few = met.filter(F.col("n") <= HEAVY)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
     near = a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
     many = met.filter(F.col("n") > HEAVY).select("fp").distinct()
-    signed = many.select("fp", F.explode(_signatures(F.col("fp"))).alias("s")).select("fp", "s.rest", "s.bits")
+    signed = many.repartition(partitions(fps.sparkSession), "fp").select("fp", F.explode(_signatures(F.col("fp"))).alias("s")).select("fp", "s.rest", "s.bits")
     stars = signed.groupBy("rest", "bits").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
     stars = stars.select("u", F.explode("all").alias("v")).filter("u < v")
     return near.unionByName(stars).distinct()
