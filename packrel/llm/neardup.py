@@ -350,7 +350,7 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     near = materialize(_neighbours(values), "neighbours")
     first = materialize(test.of_pairs(near.filter("u IS NOT NULL").select("u", "v").distinct(), prints), "near")
     # Classes of what is surely near, to spare comparisons within large groups.
-    roots = components(first.filter("sure").select("u", "v"))
+    roots = materialize(components(first.filter("sure").select("u", "v")), "roots")
     keys = values.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("key")
     keys = materialize(keys.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("root").alias("least"), F.max("root").alias("most")), "keys")
     a, b = (keys.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "node", "least", "most")]) for x in "ab")

@@ -85,3 +85,23 @@ def test_near_rows(odd, none, odd_rows):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {1, 3, None, 5, 6, 8, 9}
     assert simhash.near_groups(none).collect() == []
+
+
+@pytest.mark.parametrize("alone", [0, 2_000_000])
+def test_components_either_way(spark, monkeypatch, alone):
+    import random
+
+    from packrel.llm import components
+
+    monkeypatch.setattr(components, "ALONE", alone)
+    rng = random.Random(alone)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2040)] + [(5, 5), (7, None)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    want: dict = {}
+    for u, v in links:
+        if v is not None and u != v:
+            a, b = (want.get(x, {x}) for x in (u, v))
+            whole = a | b
+            want |= dict.fromkeys(whole, whole)
+    assert got == {k: min(x) for k, x in want.items()}
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
