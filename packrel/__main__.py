@@ -80,9 +80,20 @@ complete -F _packrel packrel"""
     return ("autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else "") + script
 
 
+#: What an error that a setting can lift says besides.
+HINTS = {
+    "QUOTA_EXCEEDED": "raise --max-files, --max-total-size or --max-file-size if the archive is trusted",
+    "SYMLINK_ESCAPE": "--allow-symlinks lets links that stay inside the destination pass",
+    "HARDLINK_ESCAPE": "--allow-hardlinks lets links to files of the archive pass",
+    "OUTPUT_EXISTS": "--force replaces what is there",
+    "UNKNOWN_FORMAT": "the format is told from the leading bytes and the name; check both",
+}
+
+
 def refuse_conflicts(spark: SparkSession, archive: str, destination: str, config: SecurityConfig) -> None:
     """Stop before anything is written if files of the archive are already there."""
-    found, n_more = joins.first_conflicts(api.list_archives(spark, archive, config), existing_paths(spark, destination))
+    destination_files = spark.createDataFrame(((x,) for x in existing_paths(destination)), "path string")
+    found, n_more = joins.first_conflicts(api.list_archives(spark, archive, config), destination_files)
     first = [r["path"] for r in found.collect()]
     if first:
         more = f" ... and {n_more} more" if n_more else ""
@@ -119,7 +130,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             reports = [r.asDict(True) for r in api.verify_archives(spark, a.archive, policy(a)).collect()]
             out, code = reports, max((EXIT[r["status"]] for r in reports), key=lambda c: (0, 2, 1).index(c), default=0)
     except api.ArchiveError as e:
-        print(json.dumps({"error": e.code, "message": str(e)}) if a.json else f"error: {e}", file=sys.stderr)
+        hint = HINTS.get(e.code)
+        told = {"error": e.code, "message": str(e)} | ({"hint": hint} if hint else {})
+        print(json.dumps(told) if a.json else f"error: {e}" + (f"\nhint: {hint}" if hint else ""), file=sys.stderr)
         return 1
     if not a.quiet:
         print(json.dumps(out, default=str) if a.json else "\n".join(map(str, out if isinstance(out, list) else [out])))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from packrel.config import CreationConfig, ExtractionOptions, SecurityConfig
-from packrel.functions.errors import error, raw_error
-from packrel.operators import reports, verify
+from packrel.operators.verify import listed_entries, verify_entries
 from packrel.sources.archive import read_archives
-from packrel.sources.writer import ArchiveError, CreationReport, ExtractionReport, Progress, create_archive, extract_archive
+from packrel.sources.errors import ArchiveError
+from packrel.sources.extract import ExtractionReport, extract_archive
+from packrel.sources.writer import CreationReport, Progress, create_archive
 
 __all__ = ["Archive", "ArchiveBuilder", "ArchiveCreator", "ArchiveError", "CreationConfig", "CreationReport", "ExtractionOptions", "ExtractionReport", "SecurityConfig", "create_archive", "extract_archive", "list_archives", "verify_archives"]
 
@@ -22,10 +22,7 @@ def list_archives(spark: SparkSession, path: str, config: SecurityConfig | None
     strict: raise the first of these errors.
     """
     config = config or SecurityConfig()
-    found = reports.listing(read_archives(spark, path, budget=config.max_tar_metadata_bytes).withColumn("size", F.coalesce("size", F.lit(0).cast("decimal(20,0)"))), config)
-    scanned = raw_error("INVALID_ARCHIVE", F.col("scan_error"), F.col("scan_error"))
-    locked = error("SECURITY_VIOLATION", F.lit("encrypted archives are not supported"))
-    found = found.withColumn("error", F.when(F.col("scan_error").isNotNull(), scanned).when(F.col("encrypted"), locked).otherwise(F.col("error")))
+    found = listed_entries(read_archives(spark, path, budget=config.max_tar_metadata_bytes), config)
     if strict and (bad := found.filter("error IS NOT NULL").orderBy("archive", "entry_idx").select("error").first()):
         raise ArchiveError(bad["error"]["code"], bad["error"]["message"])
     return found
@@ -34,15 +31,7 @@ def list_archives(spark: SparkSession, path: str, config: SecurityConfig | None
 def verify_archives(spark: SparkSession, path: str, config: SecurityConfig | None = None, with_issues: bool = True) -> DataFrame:
     """One report row an archive.  An archive that can't be listed at all has status FAIL and its error."""
     config = config or SecurityConfig()
-    listed = list_archives(spark, path, config.for_listing_before_verify())
-    # A listing for verification stops at these, but lets empty and null link targets pass.
-    hard = (F.col("error.code") != "INVALID_ARCHIVE") | F.col("scan_error").isNotNull()
-    stop = listed.filter(hard & F.col("error").isNotNull()).groupBy("archive").agg(F.min(F.struct("entry_idx", "error")).alias("s")).select("archive", F.col("s.error").alias("listing_error"))
-    out = verify.reports(listed.filter("scan_error IS NULL").drop("error"), config, with_issues)
-    all_archives = listed.select("archive", "format").groupBy("archive").agg(F.max("format").alias("format"))
-    out = all_archives.join(out.drop("format"), "archive", "left").join(stop, "archive", "left")
-    failed = F.col("listing_error").isNotNull()
-    return out.withColumn("status", F.when(failed, "FAIL").otherwise(F.coalesce("status", F.lit("PASS"))))
+    return verify_entries(read_archives(spark, path, budget=config.max_tar_metadata_bytes), config, with_issues)
 
 
 class Archive:

@@ -10,6 +10,7 @@ from packrel.functions import checks as C
 from packrel.functions import paths as P
 from packrel.functions.errors import error, no_error
 
+from .joins import hardlink_targets
 from .windows import cut_at_first_error, first_errors, quota
 
 
@@ -60,6 +61,22 @@ def extraction_plan(entries: DataFrame, config: SecurityConfig) -> DataFrame:
     return e.withColumn("action", action).withColumn("error", err).withColumn("mode", C.sanitized_mode(F.col("mode"), config)).drop("running_files", "running_size", "quota_error")
 
 
+def hardlink_reservations(entries: DataFrame, config: SecurityConfig) -> DataFrame:
+    """Hardlinks with target_idx, target_size and error: what their copies cost, after all files, in order.
+
+    A copy is charged like a file, against the size, the total and the count; one whose target
+    isn't a file of the archive costs nothing here, as it fails by itself.
+    """
+    links = hardlink_targets(entries.drop("error")).drop("error")
+    files = entries.filter("entry_type = 'File'" + (" AND action = 'write'" if "action" in entries.columns else ""))
+    seq = F.col("entry_idx") + F.when(F.col("__link"), F.lit(1 << 48)).otherwise(0)
+    both = files.select("archive", F.col("entry_idx").alias("__idx"), "entry_idx", "size", F.lit(False).alias("__link")).unionByName(
+        links.select("archive", F.col("entry_idx").alias("__idx"), "entry_idx", F.col("target_size").alias("size"), F.lit(True).alias("__link"))
+    )
+    charged = quota(both.withColumn("entry_idx", seq), config, charged=F.col("size").isNotNull()).filter("__link")
+    return links.join(charged.select("archive", F.col("__idx").alias("entry_idx"), F.col("quota_error").alias("error")), ["archive", "entry_idx"])
+
+
 def extraction_report(entries: DataFrame, config: SecurityConfig, options: ExtractionOptions | None = None) -> DataFrame:
     """One row an archive: what would be written before its first error, and that error.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from packrel.config import SecurityConfig
 from packrel.functions import checks as C
-from packrel.functions.errors import SECURITY_CATEGORIES, issue, issue_of_error
+from packrel.functions.errors import SECURITY_CATEGORIES, error, issue, issue_of_error, raw_error
 from packrel.schemas import RANK
 
+from .reports import listing
 from .windows import quota
 
 
@@ -87,3 +88,24 @@ def reports(entries: DataFrame, config: SecurityConfig, with_issues: bool = Fals
         packed = rows.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("o", F.struct("severity", "category", "entry_path", "message", "context").alias("i")))).alias("x"))
         out = out.join(packed.select("archive", F.col("x.i").alias("issues")), "archive", "left")
     return out
+
+
+def listed_entries(entries: DataFrame, config: SecurityConfig) -> DataFrame:
+    """Entries as a scan gives them, each with the error for which a listing would stop there."""
+    found = listing(entries.withColumn("size", F.coalesce("size", F.lit(0).cast("decimal(20,0)"))), config)
+    scanned = raw_error("INVALID_ARCHIVE", F.col("scan_error"), F.col("scan_error"))
+    locked = error("SECURITY_VIOLATION", F.lit("encrypted archives are not supported"))
+    return found.withColumn("error", F.when(F.col("scan_error").isNotNull(), scanned).when(F.col("encrypted"), locked).otherwise(F.col("error")))
+
+
+def verify_entries(entries: DataFrame, config: SecurityConfig, with_issues: bool = False) -> DataFrame:
+    """A report row an archive of scanned entries; one that can't be read to its end has status FAIL and the error."""
+    listed = listed_entries(entries, config.for_listing_before_verify())
+    # A listing for verification stops at these, but lets empty and null link targets pass.
+    hard = (F.col("error.code") != "INVALID_ARCHIVE") | F.col("scan_error").isNotNull()
+    stop = listed.filter(hard & F.col("error").isNotNull()).groupBy("archive").agg(F.min(F.struct("entry_idx", "error")).alias("s")).select("archive", F.col("s.error").alias("listing_error"))
+    out = reports(listed.filter("scan_error IS NULL").drop("error"), config, with_issues)
+    every = listed.groupBy("archive").agg(F.max("format").alias("format"))
+    out = every.join(out.drop("format"), "archive", "left").join(stop, "archive", "left")
+    failed = F.col("listing_error").isNotNull()
+    return out.withColumn("status", F.when(failed, "FAIL").otherwise(F.coalesce("status", F.lit("PASS"))))

@@ -61,9 +61,79 @@ def entries_of_files(files: DataFrame, with_content: bool = False, budget: int =
     return files.select("path", "content").mapInArrow(run, ENTRIES_WITH_CONTENT if with_content else ENTRIES)
 
 
+def local_path(path: str) -> str | None:
+    """The path on a file system that tasks can open themselves; None for a store that only Spark reads."""
+    return path.removeprefix("file://").replace("file:", "", 1) if path.startswith("file:") else path if "://" not in path else None
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(("_", "."))
+
+
 def read_archives(spark: SparkSession, path: str, with_content: bool = False, budget: int = 4 << 20, recursive: bool = True) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return entries_of_files(files, with_content, budget)
+    """Entries of the archive at a path, or of all archives below it, hidden ones too.
+
+    Spark's reader leaves names out that begin with a dot or an underscore: on a file system that
+    tasks share these are opened by the tasks; where they can't be, they are refused, not dropped.
+    """
+    local = local_path(path)
+    skipped = _skipped(spark, path, local, recursive)
+    frames = []
+    if local is None or skipped is None or not skipped[1]:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+        frames.append(entries_of_files(files, with_content, budget))
+    if skipped and skipped[0]:
+        names = spark.createDataFrame([(x,) for x in skipped[0]], "path string").repartition(min(len(skipped[0]), 1000), "path")
+        frames.append(entries_of_paths(names, with_content, budget))
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _skipped(spark: SparkSession, path: str, local: str | None, recursive: bool):
+    """Files that Spark's reader would leave out, and whether these are all there are; None if there are none."""
+    if local is None:
+        jvm = spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(root) or []:
+            it = fs.listFiles(status.getPath(), recursive)
+            start = len(status.getPath().toString())
+            while it.hasNext():
+                found = it.next().getPath().toString()
+                if any(map(_hidden, [found.rsplit("/", 1)[-1], *found[start:].split("/")])):
+                    raise ValueError(f"hidden files can't be read from this store: {found}")
+        return None
+    hidden, others = [], 0
+    for root in glob.glob(local) if not os.path.lexists(local) else [local]:
+        if not os.path.isdir(root):
+            own = _hidden(os.path.basename(root))
+            hidden += [root] if own else []
+            others += not own
+            continue
+        for folder, below, names in os.walk(root):
+            inside = any(map(_hidden, os.path.relpath(folder, root).split(os.sep))) and folder != root
+            for x in names:
+                if inside or _hidden(x):
+                    hidden.append(os.path.join(folder, x))
+                else:
+                    others += 1
+            if not recursive:
+                below.clear()
+    return (sorted(hidden), not others) if hidden else None
+
+
+def entries_of_paths(files: DataFrame, with_content: bool = False, budget: int = 4 << 20) -> DataFrame:
+    """files: path, on a file system that tasks share."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    yield from _batches(scan(f"file:{path}", f, budget, with_content), with_content)
+
+    return files.select("path").mapInArrow(run, ENTRIES_WITH_CONTENT if with_content else ENTRIES)
 
 
 class _One(InputPartition):
@@ -128,9 +198,8 @@ def directory_entries(root: str, follow_symlinks: bool = False) -> list[dict]:
     return out
 
 
-def existing_paths(spark: SparkSession, root: str) -> DataFrame:
-    """The files below a destination, as relative paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root) if os.path.isdir(root) else None
-    if files is None:
-        return spark.createDataFrame([], "path string")
-    return files.select(F.regexp_replace("path", f"^(file:)?/*{root.strip('/')}/", "").alias("path"))
+def existing_paths(root: str) -> Iterator[str]:
+    """What stands below a folder, links too, as relative paths."""
+    for folder, below, names in os.walk(root):
+        for x in [*names, *(d for d in below if os.path.islink(os.path.join(folder, d)))]:
+            yield os.path.relpath(os.path.join(folder, x), root)

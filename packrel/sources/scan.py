@@ -218,3 +218,45 @@ def scan(archive: str, f, budget: int = 4 << 20, with_content: bool = False, fmt
         yield from scan_sevenz(archive, f, with_content)
     else:
         yield from scan_tar(archive, fmt, f, budget, with_content)
+
+
+def bodies(archive: str, f, fmt: str, wanted: set[int], budget: int = 4 << 20) -> Iterator[tuple]:
+    """(entry_idx, stream, declared size) of the wanted entries, numbered as ``scan`` does; each stream is read before the next.
+
+    What is wrong with the archive is a ScanError.
+    """
+    try:
+        if fmt == "Zip":
+            with zipfile.ZipFile(f) as z:
+                for idx, i in enumerate(z.infolist()):
+                    if idx in wanted:
+                        with z.open(i) as body:
+                            yield idx, body, i.file_size
+        elif fmt == "SevenZ":
+            found = sevenz.read(f)
+            for idx, entry in enumerate(e for e in found.entries if not e.anti):
+                if idx in wanted:
+                    yield idx, io.BytesIO(found.content(f, entry) or b""), entry.size
+        else:
+            yield from _tar_bodies(fmt, f, wanted, budget)
+    except (zipfile.BadZipFile, tarfile.TarError, sevenz.SevenZError, EOFError, lzma.LZMAError, zlib.error, NotImplementedError) as e:
+        raise ScanError(f"invalid archive: {e}") from None
+
+
+def _tar_bodies(fmt: str, f, wanted: set[int], budget: int) -> Iterator[tuple]:
+    stream = Forward(decoder(fmt, f), budget)
+    stream.arm()
+    tar = tarfile.open(fileobj=stream, mode="r:", errorlevel=2)  # noqa: SIM115
+    left, idx = len(wanted), 0
+    while left:
+        stream.arm()
+        t = tar.next()
+        stream.disarm()
+        if t is None:
+            return
+        tar.members.clear()
+        if idx in wanted:
+            left -= 1
+            body = tar.extractfile(t)
+            yield idx, body if body else io.BytesIO(b""), t.size
+        idx += 1

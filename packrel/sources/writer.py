@@ -1,9 +1,7 @@
-"""Creating and extracting archives as distributed, restartable writes.
+"""Creating archives as restartable writes.
 
 An archive is written by one task, entry by entry in order, under a temporary name that is renamed
-when complete; a task that is run again simply writes another temporary file.  Extraction writes
-each file under a temporary name and renames it, so that files go to as many tasks as there are
-partitions; with ``atomic`` all of it happens in a folder beside the destination, renamed at the end.
+when complete; a task that is run again simply writes another temporary file.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ import gzip
 import io
 import lzma
 import os
-import shutil
 import tarfile
 import time
 import uuid
@@ -25,22 +22,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packrel.config import CreationConfig, ExtractionOptions, InvalidConfiguration, SecurityConfig
-from packrel.functions import paths as P
+from packrel.config import CreationConfig, InvalidConfiguration
 from packrel.functions import units as U
 from packrel.operators import reports
-from packrel.operators.windows import cut_at_first_error, dedup, first_errors
 
-from .archive import directory_entries, existing_paths, read_archives
+from .archive import directory_entries
 from .detect import ZIP_FAMILY, format_of_name
-
-
-class ArchiveError(Exception):
-    """An error with its stable code."""
-
-    def __init__(self, code: str, message: str, report=None):
-        super().__init__(message)
-        self.code, self.report = code, report
+from .errors import ArchiveError
 
 
 @dataclass
@@ -66,20 +54,8 @@ class CreationReport:
         return max(0, self.bytes_written - self.bytes_compressed) / self.bytes_written * 100 if self.bytes_compressed else 100.0
 
 
-@dataclass
-class ExtractionReport:
-    files_extracted: int = 0
-    directories_created: int = 0
-    symlinks_created: int = 0
-    bytes_written: int = 0
-    duration: float = 0.0
-    files_skipped: int = 0
-    warnings: list[str] = field(default_factory=list)
-
-    def total_items(self) -> int:
-        return self.files_extracted + self.directories_created + self.symlinks_created
-
-
+#: Bytes of one file after which progress is told again.
+PROGRESS = 4 << 20
 Progress = Callable[[str, int, int, int], None]
 
 
@@ -124,7 +100,7 @@ def write_archive(path: str, rows: Iterable[dict], config: CreationConfig, progr
             add, close = (_zip_adder if fmt == "Zip" else _tar_adder)(f, fmt, config, report)
             for k, row in enumerate(rows):
                 if row["archive_path"]:
-                    add(row)
+                    add(row, (lambda n, name=row["archive_path"], k=k: progress(name, 0, k, report.bytes_written + n)) if progress else None)
                 if progress:
                     progress(row["archive_path"], 0, k + 1, report.bytes_written)
             close()
@@ -139,8 +115,37 @@ def write_archive(path: str, rows: Iterable[dict], config: CreationConfig, progr
     return report
 
 
-def _body(row: dict):
-    return open(row["source"], "rb") if row.get("source") else io.BytesIO(row.get("content") or b"")  # noqa: SIM115
+class _Told(io.RawIOBase):
+    """A body that says, every PROGRESS bytes, how much of it has been read."""
+
+    def __init__(self, inner, tell):
+        self.inner, self.tell_, self.n, self.said = inner, tell, 0, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        got = self.inner.read(n)
+        self.n += len(got)
+        if self.n - self.said >= PROGRESS:
+            self.said = self.n
+            self.tell_(self.n)
+        return got
+
+    def close(self) -> None:
+        self.inner.close()
+        super().close()
+
+
+def _body(row: dict, follow: bool, tell=None):
+    """The contents and their length; a source that has become a link meanwhile is refused unless links are followed."""
+    if row.get("source"):
+        f = os.fdopen(os.open(row["source"], os.O_RDONLY | (0 if follow else os.O_NOFOLLOW)), "rb")
+    else:
+        f = io.BytesIO(row.get("content") or b"")
+    n = f.seek(0, 2)
+    f.seek(0)
+    return (_Told(f, tell) if tell else f), n
 
 
 def _tar_adder(f, fmt: str, config: CreationConfig, report: CreationReport):
@@ -148,7 +153,7 @@ def _tar_adder(f, fmt: str, config: CreationConfig, report: CreationReport):
     out = stack.enter_context(_encoder(fmt, f, config.compression_level))
     tar = stack.enter_context(tarfile.open(fileobj=out, mode="w|", format=tarfile.PAX_FORMAT))
 
-    def add(row: dict) -> None:
+    def add(row: dict, tell=None) -> None:
         kind, keep = row["entry_type"], config.preserve_permissions
         info = tarfile.TarInfo(row["archive_path"])
         mode = row.get("mode") if keep else None
@@ -163,9 +168,8 @@ def _tar_adder(f, fmt: str, config: CreationConfig, report: CreationReport):
             report.symlinks_added += 1
         else:
             info.mode = 0o644 if mode is None else mode
-            with _body(row) as body:
-                info.size = body.seek(0, 2)
-                body.seek(0)
+            body, info.size = _body(row, config.follow_symlinks, tell)
+            with body:
                 tar.addfile(info, body)
             report.files_added += 1
             report.bytes_written += info.size
@@ -177,7 +181,7 @@ def _zip_adder(f, fmt: str, config: CreationConfig, report: CreationReport):
     level = 6 if config.compression_level is None else config.compression_level
     z = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED, compresslevel=level)
 
-    def add(row: dict) -> None:
+    def add(row: dict, tell=None) -> None:
         kind, name = row["entry_type"], row["archive_path"]
         if kind == "Symlink":
             report.files_skipped += 1
@@ -193,10 +197,11 @@ def _zip_adder(f, fmt: str, config: CreationConfig, report: CreationReport):
             return
         info.compress_type = zipfile.ZIP_DEFLATED
         info.external_attr = (0o100000 | (0o644 if mode is None else mode)) << 16
-        with _body(row) as body, z.open(info, "w", force_zip64=True) as out:
+        body, n = _body(row, config.follow_symlinks, tell)
+        with body, z.open(info, "w", force_zip64=True) as out:
             while part := body.read(1 << 16):
                 out.write(part)
-                report.bytes_written += len(part)
+        report.bytes_written += n
         report.files_added += 1
 
     return add, z.close
@@ -255,162 +260,6 @@ def create_archives(entries: DataFrame, config: CreationConfig | None = None) ->
     return dealt.mapInArrow(run, "archive string, files_added long, directories_added long, symlinks_added long, bytes_written long, bytes_compressed long")
 
 
-def swap_in(staged: str, destination: str, seen: tuple[int, int] | None) -> None:
-    """Put a complete folder in the place of another, which comes back if that fails.
-
-    seen: device and inode of the folder that was there when the extraction began; another one
-    in its place is left alone.
-    """
-    if seen is None:
-        os.rename(staged, destination)
-        return
-    now = os.lstat(destination)
-    if (now.st_dev, now.st_ino) != seen:
-        raise ArchiveError("OUTPUT_EXISTS", f"destination was changed meanwhile: {destination}")
-    backup = f"{destination}.{uuid.uuid4().hex}.backup"
-    os.rename(destination, backup)
-    try:
-        os.rename(staged, destination)
-    except OSError:
-        os.rename(backup, destination)
-        raise
-    shutil.rmtree(backup, ignore_errors=True)
-
-
-def _write_files(rows: DataFrame, root: str) -> DataFrame:
-    """Writes at, content and mode; returns at and the bytes of each file."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                target = os.path.join(root, r["at"])
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}.part"
-                fd = os.open(part, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o600)
-                with os.fdopen(fd, "wb") as f:
-                    f.write(r["content"] or b"")
-                    os.fchmod(f.fileno(), r["mode"] if r["mode"] is not None else 0o644)
-                os.replace(part, target)
-            sizes = [len(x.as_py() or b"") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["at", "bytes"])
-
-    return rows.select("at", "content", "mode").mapInArrow(run, "at string, bytes long")
-
-
-def extract_archive(
-    spark: SparkSession, path: str, destination: str, config: SecurityConfig | None = None, options: ExtractionOptions | None = None, progress: Progress | None = None
-) -> ExtractionReport:
-    """Extract one archive below a folder that the executors share.
-
-    Raises ArchiveError with the first error; what stands before it has been written (unless
-    atomic), and then the error carries the report.
-    """
-    config, options = config or SecurityConfig(), options or ExtractionOptions()
-    began, report = time.time(), ExtractionReport()
-    destination = os.path.abspath(destination)
-    seen = None
-    if options.atomic and os.path.lexists(destination):
-        if not options.replace:
-            raise ArchiveError("OUTPUT_EXISTS", f"output file already exists: {destination}")
-        info = os.lstat(destination)
-        if os.path.islink(destination) or not os.path.isdir(destination):
-            raise ArchiveError("OUTPUT_EXISTS", f"only a folder can be replaced: {destination}")
-        seen = info.st_dev, info.st_ino
-    entries = read_archives(spark, path, with_content=True, budget=config.max_tar_metadata_bytes).cache()
-    broken = entries.filter("scan_error IS NOT NULL").select("entry_idx", "scan_error").first()
-    solid = reports.solid_check(entries.filter("scan_error IS NULL"), config).filter("error IS NOT NULL").first()
-    if solid:
-        raise ArchiveError(solid["error"]["code"], solid["error"]["message"])
-    plan = reports.extraction_plan(entries.filter("scan_error IS NULL"), config).persist()
-    failed = first_errors(plan).first()
-    below = P.parents(P.normalized(F.col("path")))
-    links = plan.filter("action = 'symlink' AND error IS NULL").select(P.normalized(F.col("path")).alias("__up"), F.col("entry_idx").alias("__li"))
-    through = plan.select("entry_idx", F.explode(below).alias("__up")).join(links, "__up").filter("__li < entry_idx").agg(F.min("entry_idx")).first()[0]
-    stops = [(failed["entry_idx"], failed["error"]["code"], failed["error"]["message"])] if failed else []
-    if through is not None:
-        stops.append((through, "SYMLINK_ESCAPE", "an entry lies below a symlink of the archive"))
-    if broken:
-        stops.append((broken["entry_idx"], "INVALID_ARCHIVE", broken["scan_error"]))
-    stop = min(stops) if stops else None
-    done = cut_at_first_error(plan)
-    if stop:
-        done = done.filter(F.col("entry_idx") < stop[0])
-    done = done.withColumn("at", P.normalized(F.col("path"))).persist()
-    root = f"{destination}.{uuid.uuid4().hex}.staging" if options.atomic else destination
-    os.makedirs(root, exist_ok=True)
-    try:
-        base = os.path.realpath(root)
-        for r in done.filter("action = 'mkdir'").select("at").coalesce(1).toLocalIterator():
-            os.makedirs(os.path.join(root, r["at"]), exist_ok=True)
-            report.directories_created += 1
-        files = done.filter("action = 'write' AND at <> ''").withColumn("path", F.col("at"))
-        once = dedup(files, "first" if options.skip_duplicates else "last")
-        skipped = files.count() - once.count() if options.skip_duplicates else 0
-        if options.skip_duplicates:
-            there = existing_paths(spark, root)
-            fresh = once.join(there.select(P.normalized(F.col("path")).alias("at")).distinct(), "at", "left_anti")
-            skipped += once.count() - fresh.count()
-            once = fresh
-        outside = [d["d"] for d in once.select(F.element_at(F.concat(F.array(F.lit("")), P.parents(F.col("at"))), -1).alias("d")).distinct().coalesce(1).toLocalIterator() if not os.path.realpath(os.path.join(root, d["d"])).startswith(base)]
-        if outside:
-            raise ArchiveError("PATH_TRAVERSAL", f"path traversal detected: {outside[0]}")
-        written = _write_files(once, root)
-        if progress:  # a call for each file, as partitions are done; rows of names and sizes only
-            total = done.count()
-            for r in written.toLocalIterator():
-                report.files_extracted += 1
-                report.bytes_written += r["bytes"]
-                progress(r["at"], total, report.total_items(), report.bytes_written)
-        else:
-            sums = written.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-            report.files_extracted, report.bytes_written = sums[0], sums[1] or 0
-        for r in done.filter("action = 'symlink'").orderBy("entry_idx").select("at", "symlink_target").coalesce(1).toLocalIterator():
-            link = os.path.join(root, r["at"])
-            os.makedirs(os.path.dirname(link), exist_ok=True)
-            if os.path.lexists(link):
-                if options.skip_duplicates:
-                    skipped += 1
-                    continue
-                os.remove(link)
-            os.symlink(r["symlink_target"], link)
-            report.symlinks_created += 1
-        for r in done.filter("action = 'hardlink'").orderBy("entry_idx").select("at", P.normalized(F.col("hardlink_target")).alias("of")).coalesce(1).toLocalIterator():
-            source, target = os.path.join(root, r["of"]), os.path.join(root, r["at"])
-            if not os.path.isfile(source) or not os.path.realpath(source).startswith(base + os.sep):
-                raise ArchiveError("INVALID_ARCHIVE", f"invalid archive: hardlink target not found: {r['of']}")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            if os.path.lexists(target) and options.skip_duplicates:
-                skipped += 1
-                continue
-            shutil.copyfile(source, target, follow_symlinks=False)
-            shutil.copymode(source, target)
-            report.files_extracted += 1
-            report.bytes_written += os.path.getsize(target)
-        left_out = done.filter("action = 'skip_ext'").count()
-        report.files_skipped = skipped + left_out
-        if skipped:
-            report.warnings.append("skipped 1 duplicate entry" if skipped == 1 else f"skipped {skipped} duplicate entries")
-        if left_out:
-            report.warnings.append("skipped 1 file with disallowed extension" if left_out == 1 else f"skipped {left_out} files with disallowed extensions")
-        report.duration = time.time() - began
-        if progress:
-            progress(path, report.total_items(), report.total_items(), report.bytes_written)
-        if stop:
-            partial = report.total_items() > 0 or report.files_skipped > 0 or bool(report.warnings)
-            raise ArchiveError(stop[1], stop[2], report if partial else None)
-        if options.atomic:
-            swap_in(root, destination, seen)
-        return report
-    finally:
-        entries.unpersist()
-        done.unpersist()
-        plan.unpersist()
-        if options.atomic:
-            shutil.rmtree(root, ignore_errors=True)
-
-
 def with_order(entries: DataFrame) -> DataFrame:
     """Adds entry_idx to entries without one, by archive_path."""
     return entries.withColumn("entry_idx", F.row_number().over(Window.partitionBy("archive").orderBy("archive_path")) - 1)

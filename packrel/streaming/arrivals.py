@@ -1,6 +1,6 @@
 """Structured Streaming over folders into which archives are dropped.
 
-A file is read once; its entries and issues come with the micro-batch that found it, and reports go
+An archive that can't be read to its end is reported as failed.  A file is read once; its entries and issues come with the micro-batch that found it, and reports go
 through foreachBatch, as an archive's entries all arrive together.
 """
 
@@ -26,8 +26,7 @@ def verify_arrivals(spark: SparkSession, folder: str, output: str, checkpoint: s
     config = config or SecurityConfig()
 
     def report(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.filter("scan_error IS NULL")
-        verify.reports(rows, config).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        verify.verify_entries(batch, config).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     writer = arriving_entries(spark, folder, budget=config.max_tar_metadata_bytes).writeStream.foreachBatch(report).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
