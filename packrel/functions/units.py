@@ -11,9 +11,18 @@ UNITS = {"K": 1 << 10, "M": 1 << 20, "G": 1 << 30, "T": 1 << 40}
 
 
 def humanize_bytes(n: Column) -> Column:
+    """One digit behind the point, rounded from the exact quotient, ties to the even digit."""
+    whole = n.cast("decimal(20,0)")
     out = None
     for unit in "TGMK":
-        text = F.format_string(f"%.1f {unit}B", n.cast("double") / UNITS[unit])
+        size = F.lit(UNITS[unit]).cast("decimal(14,0)")
+        tenths = (whole * 10).cast("decimal(22,0)")
+        rest = tenths % size
+        low = ((tenths - rest) / size).cast("decimal(22,0)")
+        up = (rest * 2 > size) | ((rest * 2 == size) & (low % 2 == 1))
+        digits = (low + F.when(up, 1).otherwise(0)).cast("decimal(22,0)")
+        last = (digits % 10).cast("int")
+        text = F.concat(((digits - last) / 10).cast("decimal(21,0)").cast("string"), F.lit("."), last.cast("string"), F.lit(f" {unit}B"))
         out = F.when(n >= UNITS[unit], text) if out is None else out.when(n >= UNITS[unit], text)
     return out.otherwise(F.concat(n.cast("string"), F.lit(" B")))
 

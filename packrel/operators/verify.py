@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packrel.config import SecurityConfig
 from packrel.functions import checks as C
 from packrel.functions.errors import SECURITY_CATEGORIES, error, issue, issue_of_error, raw_error
-from packrel.schemas import RANK
+from packrel.schemas import RANK, SEVERITIES
 
 from .reports import listing
 from .windows import quota
@@ -53,6 +53,23 @@ def ordered(issues_frame: DataFrame) -> DataFrame:
     return issues_frame.orderBy("archive", F.desc("severity_rank"), "entry_idx", "check_idx")
 
 
+def placed(issues_frame: DataFrame) -> DataFrame:
+    """Adds place, from 1, within each archive, in the order of ``ordered``."""
+    by = Window.partitionBy("archive").orderBy(F.desc("severity_rank"), "entry_idx", "check_idx")
+    return issues_frame.withColumn("place", F.row_number().over(by))
+
+
+def severity_counts(entries: DataFrame, config: SecurityConfig) -> DataFrame:
+    """Per archive: issues of each severity, has_critical, and is_safe (none from Medium upwards); folded before the shuffle."""
+    e = checked(entries, config).withColumn("__i", F.concat("entry_issues", "heuristic_issues"))
+
+    def count(severity):
+        return F.sum(F.size(F.filter("__i", lambda i: i["severity"] == severity))).cast("long").alias(f"n_{severity.lower()}")
+
+    out = e.groupBy("archive").agg(*map(count, reversed(SEVERITIES)))
+    return out.withColumn("has_critical", F.col("n_critical") > 0).withColumn("is_safe", F.col("n_critical") + F.col("n_high") + F.col("n_medium") == 0)
+
+
 def reports(entries: DataFrame, config: SecurityConfig, with_issues: bool = False) -> DataFrame:
     """One row an archive: status, integrity_status, security_status, counts and total size.
 

@@ -16,6 +16,7 @@ from packrel.functions import units as U
 from packrel.operators import joins, reports, verify, windows
 from packrel.sources.detect import format_of
 
+from . import planted
 from .relations import ENTRIES_SQL, PAGES_SQL, entries_docs, entries_pages
 
 LOW = SecurityConfig(max_file_size=9000, max_total_size=60_000, max_file_count=40)
@@ -216,11 +217,12 @@ _SEVERITY = "CASE code " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, (s, _, _) in
 _CATEGORY = "CASE code " + " ".join(f"WHEN '{c}' THEN '{g}'" for c, (_, g, _) in E.ISSUES.items()) + " END"
 ISSUES_SQL = LINK_SQL.replace(CHECKED_SQL, CHECKED_SQL.replace("CASE WHEN size > 9000 THEN 'QUOTA_EXCEEDED' END AS size_code FROM q", "qq2.qcode AS size_code FROM q JOIN qq2 USING (archive, entry_idx)").replace("q AS (SELECT *", QUOTA_SQL[len(WITH) + 1 :] + ", qq2 AS (SELECT archive, entry_idx, CASE WHEN message IS NOT NULL THEN 'QUOTA_EXCEEDED' END AS qcode FROM qq), q AS (SELECT *", 1)) + f""",
 h AS (SELECT *, [x for x in string_split(coalesce(hardlink_target, ''), '/') if x <> ''] AS hp FROM s),
-a AS (SELECT archive, entry_idx, size, unnest([path_code, size_code, ratio_code,
+a0 AS (SELECT archive, entry_idx, size, [path_code, size_code, ratio_code,
     CASE WHEN entry_type = 'Symlink' AND path_code IS NULL THEN coalesce(CASE WHEN symlink_target = '' THEN 'SECURITY_VIOLATION' END, link_code) END,
     CASE WHEN entry_type = 'Hardlink' AND path_code IS NULL AND list_contains(hp, '..') THEN 'HARDLINK_ESCAPE' END, mode_code,
-    CASE WHEN entry_type = 'File' AND mode & 73 <> 0 THEN 'x-exec' END, CASE WHEN {EXT_SQL} IN ('exe', 'dll', 'sh', 'bat', 'cmd') THEN 'x-ext' END]) AS code FROM h),
-i AS (SELECT archive, entry_idx, CASE code WHEN 'x-exec' THEN 'Low' WHEN 'x-ext' THEN 'Info' ELSE {_SEVERITY} END AS severity,
+    CASE WHEN entry_type = 'File' AND mode & 73 <> 0 THEN 'x-exec' END, CASE WHEN {EXT_SQL} IN ('exe', 'dll', 'sh', 'bat', 'cmd') THEN 'x-ext' END] AS l FROM h),
+a AS (SELECT archive, entry_idx, size, unnest(l) AS code, generate_subscripts(l, 1) AS pos FROM a0),
+i AS (SELECT archive, entry_idx, pos, CASE code WHEN 'x-exec' THEN 'Low' WHEN 'x-ext' THEN 'Info' ELSE {_SEVERITY} END AS severity,
     CASE code WHEN 'x-exec' THEN 'ExecutableFile' WHEN 'x-ext' THEN 'SuspiciousPath' ELSE {_CATEGORY} END AS category FROM a WHERE code IS NOT NULL)"""
 _RANK = "CASE severity WHEN 'Info' THEN 0 WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 ELSE 4 END"
 REPORT_SQL = f"""{ISSUES_SQL},
@@ -232,17 +234,21 @@ SELECT o.archive, CASE WHEN worst >= 3 THEN 'FAIL' WHEN worst = 2 THEN 'WARNING'
   total_entries, coalesce(suspicious, 0) AS suspicious_entries, total_size, coalesce(n_issues, 0) AS n_issues FROM o LEFT JOIN w USING (archive)"""
 
 
-@query(f"{ISSUES_SQL} SELECT * FROM i")
+@query(f"{ISSUES_SQL} SELECT archive, entry_idx, severity, category FROM i")
 def issues_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.issues(entries_docs(spark, sf_dir), LINKS).select("archive", "entry_idx", "severity", "category")
 
 
-@query(f"{ISSUES_SQL}, n AS (SELECT archive, {_RANK} AS severity_rank, category, count(*) AS n FROM i GROUP BY ALL) SELECT archive, severity_rank::INTEGER AS severity_rank, category, n, row_number() OVER (PARTITION BY archive ORDER BY severity_rank DESC, category)::INTEGER AS place FROM n")
+@query(f"{ISSUES_SQL} SELECT archive, entry_idx, severity, category, row_number() OVER (PARTITION BY archive ORDER BY {_RANK} DESC, entry_idx, pos)::INTEGER AS place FROM i")
 def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return verify.placed(verify.issues(entries_docs(spark, sf_dir), LINKS)).select("archive", "entry_idx", "severity", "category", "place")
 
-    n = verify.issues(entries_docs(spark, sf_dir), LINKS).groupBy("archive", "severity_rank", "category").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("archive").orderBy(F.desc("severity_rank"), "category")))
+
+@query(f"""{ISSUES_SQL} SELECT e.archive, count(i.severity) FILTER (severity = 'Critical') AS n_critical, count(i.severity) FILTER (severity = 'High') AS n_high, count(i.severity) FILTER (severity = 'Medium') AS n_medium,
+  count(i.severity) FILTER (severity = 'Low') AS n_low, count(i.severity) FILTER (severity = 'Info') AS n_info, count(i.severity) FILTER (severity = 'Critical') > 0 AS has_critical,
+  count(i.severity) FILTER (severity IN ('Critical', 'High', 'Medium')) = 0 AS is_safe FROM (SELECT DISTINCT archive FROM entries) e LEFT JOIN i ON e.archive = i.archive GROUP BY e.archive""")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.severity_counts(entries_docs(spark, sf_dir), LINKS)
 
 
 @query(REPORT_SQL)
@@ -284,33 +290,6 @@ def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.extraction_plan(entries_docs(spark, sf_dir), EXTRACT).select("archive", "entry_idx", "action", F.col("error.code").alias("code"))
 
 
-@query(f"""{_PLAN_SQL}, st AS (SELECT archive, min(entry_idx) AS stop, arg_min(code, entry_idx) AS error_code FROM plan WHERE code IS NOT NULL AND entry_idx % 40 > 10 AND ratio_ok GROUP BY archive)
-SELECT 1 AS x WHERE false""".replace("AND ratio_ok", "")[:0] or None)
-def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Well-formed entries only (no hostile paths, links or ratios), under limits that bite."""
-    return reports.extraction_report(_tame(spark, sf_dir), EXTRACT, ExtractionOptions()).drop("error_message").withColumn("bytes_written", F.col("bytes_written").cast("long"))
-
-
-def _tame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries_docs(spark, sf_dir).filter("entry_idx % 40 > 10 AND entry_type IN ('File', 'Directory')").withColumn("compressed_size", F.lit(None).cast("long"))
-
-
-_SQL["extraction_report"] = f"""{WITH}, x AS (SELECT *, {EXT_SQL} AS ext FROM parts WHERE entry_idx % 40 > 10 AND entry_type IN ('File', 'Directory')),
-y AS (SELECT *, entry_type = 'File' AND NOT coalesce(lower(ext) IN ('txt', 'exe', 'sh', 'gz'), false) AS left_out FROM x),
-zz AS (SELECT *, sum(CASE WHEN entry_type = 'File' AND NOT left_out AND size <= 9000 THEN 1 ELSE 0 END) OVER w AS n, sum(CASE WHEN entry_type = 'File' AND NOT left_out AND size <= 9000 THEN size ELSE 0 END) OVER w AS sz
-  FROM y WINDOW w AS (PARTITION BY archive ORDER BY entry_idx ROWS UNBOUNDED PRECEDING)),
-e AS (SELECT *, CASE WHEN entry_type = 'File' AND NOT left_out AND (size > 9000 OR n > 40 OR sz > 60000) THEN 'QUOTA_EXCEEDED' END AS code FROM zz),
-st AS (SELECT archive, min(entry_idx) AS stop FROM e WHERE code IS NOT NULL GROUP BY archive),
-f AS (SELECT e.* FROM e LEFT JOIN st USING (archive) WHERE stop IS NULL OR entry_idx < stop),
-wr AS (SELECT archive, array_to_string(p, '/') AS t, count(*) AS n, arg_min(size, entry_idx) AS first_size FROM f WHERE entry_type = 'File' AND NOT left_out GROUP BY ALL),
-wa AS (SELECT archive, count(*) AS files_extracted, sum(first_size)::BIGINT AS bytes_written, (sum(n) - count(*))::BIGINT AS duplicates_skipped FROM wr GROUP BY archive),
-ot AS (SELECT archive, count(*) FILTER (entry_type = 'Directory') AS directories_created, count(*) FILTER (left_out) AS extensions_skipped FROM f GROUP BY archive),
-b AS (SELECT a.archive, coalesce(files_extracted, 0) AS files_extracted, coalesce(bytes_written, 0) AS bytes_written, coalesce(duplicates_skipped, 0) AS duplicates_skipped,
-  coalesce(directories_created, 0) AS directories_created, 0::BIGINT AS symlinks_created, 0::BIGINT AS hardlinks_deferred, coalesce(extensions_skipped, 0) AS extensions_skipped,
-  CASE WHEN stop IS NOT NULL THEN 'QUOTA_EXCEEDED' END AS error_code
-  FROM (SELECT DISTINCT archive FROM e) a LEFT JOIN wa USING (archive) LEFT JOIN ot USING (archive) LEFT JOIN st USING (archive))
-SELECT *, duplicates_skipped + extensions_skipped AS files_skipped, error_code IS NOT NULL AND files_extracted + directories_created + duplicates_skipped + extensions_skipped > 0 AS partial FROM b"""
-
 @query(f"""{_PLAN_SQL}, st AS (SELECT archive, min(entry_idx) AS stop, arg_min(code, entry_idx) AS error_code FROM plan WHERE code IS NOT NULL GROUP BY archive),
 f AS (SELECT plan.* FROM plan LEFT JOIN st USING (archive) WHERE stop IS NULL OR entry_idx < stop),
 wr AS (SELECT archive, array_to_string(p, '/') AS t, count(*) AS n, arg_min(size, entry_idx) AS first_size FROM f WHERE action = 'write' GROUP BY ALL),
@@ -321,7 +300,7 @@ b AS (SELECT a.archive, coalesce(files_extracted, 0) AS files_extracted, coalesc
   coalesce(symlinks_created, 0) AS symlinks_created, coalesce(hardlinks_deferred, 0) AS hardlinks_deferred, coalesce(extensions_skipped, 0) AS extensions_skipped, error_code
   FROM (SELECT DISTINCT archive FROM plan) a LEFT JOIN wa USING (archive) LEFT JOIN ot USING (archive) LEFT JOIN st USING (archive))
 SELECT *, duplicates_skipped + extensions_skipped AS files_skipped, error_code IS NOT NULL AND files_extracted + directories_created + symlinks_created + duplicates_skipped + extensions_skipped > 0 AS partial FROM b""")
-def extraction_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries, hostile paths, links and ratios included."""
     return reports.extraction_report(entries_docs(spark, sf_dir), EXTRACT, ExtractionOptions()).drop("error_message").withColumn("bytes_written", F.col("bytes_written").cast("long"))
 
@@ -349,19 +328,26 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.validation_report(entries_docs(spark, sf_dir), EXTRACT).withColumn("total_bytes", F.col("total_bytes").cast("long"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}', '{g}', '{k}', {c in E.SECURITY}, {c in E.RECOVERABLE})" for c, (s, g, k) in E.ISSUES.items()) + ") t(code, severity, category, kind, is_security, is_recoverable)")
+@query("""SELECT * FROM (VALUES
+('PATH_TRAVERSAL', 'Critical', 'PathTraversal', 'PathTraversal', true, true), ('SYMLINK_ESCAPE', 'Critical', 'SymlinkEscape', 'SymlinkEscape', true, true),
+('HARDLINK_ESCAPE', 'Critical', 'HardlinkEscape', 'HardlinkEscape', true, true), ('ZIP_BOMB', 'Critical', 'ZipBomb', 'ZipBomb', true, false),
+('QUOTA_EXCEEDED', 'High', 'QuotaExceeded', 'QuotaExceeded', true, false), ('INVALID_PERMISSIONS', 'Medium', 'InvalidPermissions', 'InvalidPermissions', true, true),
+('IO_ERROR', 'High', 'InvalidArchive', 'Io', false, false), ('INVALID_ARCHIVE', 'High', 'InvalidArchive', 'InvalidArchive', false, false),
+('SECURITY_VIOLATION', 'High', 'SuspiciousPath', 'SecurityViolation', true, true), ('SOURCE_NOT_FOUND', 'High', 'InvalidArchive', 'SourceNotFound', false, false),
+('SOURCE_NOT_ACCESSIBLE', 'High', 'InvalidArchive', 'SourceNotAccessible', false, false), ('OUTPUT_EXISTS', 'Medium', 'InvalidArchive', 'OutputExists', false, false),
+('INVALID_COMPRESSION_LEVEL', 'Medium', 'InvalidArchive', 'InvalidCompressionLevel', false, false), ('UNKNOWN_FORMAT', 'High', 'InvalidArchive', 'UnknownFormat', false, false),
+('INVALID_CONFIGURATION', 'High', 'InvalidArchive', 'InvalidConfiguration', false, false)) t(code, severity, category, kind, is_security, is_recoverable)""")
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("code")
     codes = spark.range(len(E.ISSUES)).select(F.array(*map(F.lit, E.ISSUES))[F.col("id").cast("int")].alias("code"))
     return codes.select("code", E.severity_of(c).alias("severity"), E.category_of(c).alias("category"), E.kind_of(c).alias("kind"), E.is_security(c).alias("is_security"), E.is_recoverable(c).alias("is_recoverable"))
 
 
-@query(f"{WITH} SELECT entry_idx, CASE WHEN s < 1024 THEN s || ' B' ELSE NULL END AS small, s >= 1048576 AS is_mb FROM (SELECT entry_idx, size * (entry_idx % 900) AS s FROM entries)")
+@query(f"""{WITH} SELECT entry_idx, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', s / 1024::DOUBLE) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576::DOUBLE)
+  WHEN s < 1099511627776 THEN printf('%.1f GB', s / 1073741824::DOUBLE) ELSE printf('%.1f TB', s / 1099511627776::DOUBLE) END AS shown FROM (SELECT entry_idx, (size * (1::BIGINT << (entry_idx % 34)::INTEGER))::BIGINT AS s FROM entries)""")
 def humanize_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers as text only below 1024, where no engine's rounding matters."""
-    e = entries_docs(spark, sf_dir).withColumn("s", F.col("size") * (F.col("entry_idx") % 900))
-    text = U.humanize_bytes(F.col("s"))
-    return e.select("entry_idx", F.when(F.endswith(text, F.lit(" B")), text).alias("small"), text.rlike(" [MGT]B$").alias("is_mb"))
+    size = F.col("size") * F.pow(F.lit(2.0), F.col("entry_idx") % 34).cast("long")
+    return entries_docs(spark, sf_dir).select("entry_idx", U.humanize_bytes(size).alias("shown"))
 
 
 @query(f"{WITH} SELECT archive, sum(size)::BIGINT AS solid_size, CASE WHEN archive < 'src2' THEN CASE WHEN sum(size) > 100000 THEN 'SECURITY_VIOLATION' END END AS code FROM entries GROUP BY archive")
@@ -410,15 +396,26 @@ def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIP_SQL = "SELECT source AS archive, count(*) AS n, sum(strlen(text))::BIGINT AS total_size, count(*) AS same FROM documents GROUP BY source"
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder, as tasks open it; a temporary one only where all tasks are on this machine."""
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors share no folder")
+        found = tempfile.mkdtemp(prefix="packrel-")
+    return found.removeprefix("file://").replace("file:", "", 1) if found.startswith("file:") else found
+
+
 def _round_trip(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
     """Writes an archive of each source's texts, one task each, and reads all of them back."""
-    import tempfile
     import uuid
 
     from packrel.sources.archive import read_archives
     from packrel.sources.writer import create_archives
 
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='packrel-')).removeprefix('file://')}/trip-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/trip-{uuid.uuid4().hex}"
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = d.select(
         F.concat(F.lit(f"{folder}/"), "source", F.lit(f".{ext}")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("archive_path"), F.col("doc_id").alias("entry_idx"),
@@ -448,6 +445,5 @@ def zip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, "zip")
 
 
-@query(f"{_PLAN_SQL.replace('plan AS', 'plan0 AS')}, l AS (SELECT archive, array_to_string(p, '/') AS t, entry_idx AS li FROM parts WHERE entry_type = 'Symlink'), up AS (SELECT archive, entry_idx, unnest([array_to_string(p[1:n], '/') for n in range(1, len(p))]) AS t FROM parts) SELECT DISTINCT up.archive, up.entry_idx FROM up JOIN l ON up.archive = l.archive AND up.t = l.t AND li < up.entry_idx")
-def below_symlink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.below_symlink(entries_docs(spark, sf_dir)).select("archive", "entry_idx")
+_QUERIES |= planted._QUERIES
+_SQL |= planted._SQL

@@ -34,7 +34,7 @@ from packrel.operators.windows import cut_at_first_error, dedup, first_errors
 
 from .archive import local_path, read_archives
 from .errors import ArchiveError
-from .scan import ScanError, bodies
+from .scan import DAMAGED, ScanError, bodies
 
 CHUNK = 1 << 18
 #: Files of a ZIP archive that a task writes, at least.
@@ -147,7 +147,13 @@ class Destination:
 def checked_copy(source, target, declared: int | None) -> int:
     """Copy in pieces, never more than the declared size."""
     n = 0
-    while piece := source.read(CHUNK):
+    while True:
+        try:
+            piece = source.read(CHUNK)
+        except DAMAGED as e:
+            raise ScanError(f"invalid archive: {e}") from None
+        if not piece:
+            break
         n += len(piece)
         if declared is not None and n > declared:
             raise ScanError("invalid archive: an entry is longer than declared")

@@ -33,6 +33,10 @@ class ScanError(Exception):
     pass
 
 
+#: What decoders raise over damaged data.
+DAMAGED = (zipfile.BadZipFile, tarfile.TarError, sevenz.SevenZError, EOFError, lzma.LZMAError, zlib.error, NotImplementedError)
+
+
 class Forward(io.RawIOBase):
     """A stream that tarfile may read and seek forwards.
 
@@ -239,7 +243,7 @@ def bodies(archive: str, f, fmt: str, wanted: set[int], budget: int = 4 << 20) -
                     yield idx, io.BytesIO(found.content(f, entry) or b""), entry.size
         else:
             yield from _tar_bodies(fmt, f, wanted, budget)
-    except (zipfile.BadZipFile, tarfile.TarError, sevenz.SevenZError, EOFError, lzma.LZMAError, zlib.error, NotImplementedError) as e:
+    except DAMAGED as e:
         raise ScanError(f"invalid archive: {e}") from None
 
 

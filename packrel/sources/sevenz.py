@@ -1,4 +1,4 @@
-"""A reader of 7z headers, and of bodies that one LZMA, LZMA2, BZip2, Deflate or stored coder made."""
+"""A reader of 7z headers, and of bodies made by LZMA, LZMA2, BZip2, Deflate or stored coders, with filters before them."""
 
 from __future__ import annotations
 
@@ -40,7 +40,13 @@ class Folder:
     sizes: list[int] = field(default_factory=list)
     n_packed: int = 1
     streams: int = 1
-    bonds: int = 0
+    #: (coder that reads, coder that writes); the coder whose output is the block's.
+    bonds: list[tuple[int, int]] = field(default_factory=list)
+    last: int = 0
+
+    @property
+    def size(self) -> int:
+        return self.sizes[self.last]
 
 
 class _Bytes(io.BytesIO):
@@ -94,33 +100,62 @@ class Archive:
         return self._unpacked[1][entry.offset : entry.offset + entry.size]
 
 
-def _unpack(f, a: Archive, k: int) -> bytes:
-    folder = a.folders[k]
-    first = sum(x.n_packed for x in a.folders[:k])
-    f.seek(32 + a.pack_at + sum(a.packs[:first]))
-    data, size = f.read(a.packs[first]), folder.sizes[-1] if folder.sizes else 0
-    if size > MOST or len(folder.coders) != 1:
-        raise SevenZError("unsupported combination of coders")
-    method, props = folder.coders[0]
+#: Filters for machine code and for tables, by their ids (old and new).
+FILTERS = {
+    b"\x03\x03\x01\x03": lzma.FILTER_X86, b"\x03\x03\x02\x05": lzma.FILTER_POWERPC, b"\x03\x03\x04\x01": lzma.FILTER_IA64,
+    b"\x03\x03\x05\x01": lzma.FILTER_ARM, b"\x03\x03\x07\x01": lzma.FILTER_ARMTHUMB, b"\x03\x03\x08\x05": lzma.FILTER_SPARC,
+    b"\x04": lzma.FILTER_X86, b"\x05": lzma.FILTER_POWERPC, b"\x06": lzma.FILTER_IA64, b"\x07": lzma.FILTER_ARM, b"\x08": lzma.FILTER_ARMTHUMB, b"\x09": lzma.FILTER_SPARC,
+    b"\x03": lzma.FILTER_DELTA,
+}
+
+
+def _unfiltered(data: bytes, method: bytes, props: bytes) -> bytes:
+    """What a filter was applied to.  The library undoes filters together with a decoder only, so the data is packed first."""
+    own = {"id": FILTERS[method]} | ({"dist": props[0] + 1} if method == b"\x03" and props else {})
+    packed = lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 0}])
+    return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[own, {"id": lzma.FILTER_LZMA2, "preset": 0}]).decompress(packed)
+
+
+def _decoded(data: bytes, method: bytes, props: bytes, size: int) -> bytes:
     if method == b"\x00":
-        out = data
-    elif method == b"\x03\x01\x01":
+        return data
+    if method in FILTERS:
+        return _unfiltered(data, method, props)
+    if method == b"\x03\x01\x01":
         lc = props[0] % 9
         rest = props[0] // 9
         filters = [{"id": lzma.FILTER_LZMA1, "dict_size": max(4096, struct.unpack("<I", props[1:5])[0]), "lc": lc, "lp": rest % 5, "pb": rest // 5}]
-        out = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=filters).decompress(data, size)
-    elif method == b"\x21":
+        return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=filters).decompress(data, size)
+    if method == b"\x21":
         bits = props[0]
         dictionary = 0xFFFFFFFF if bits >= 40 else (2 | (bits & 1)) << (bits // 2 + 11)
-        out = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": dictionary}]).decompress(data, size)
-    elif method == b"\x04\x02\x02":
-        out = bz2.BZ2Decompressor().decompress(data, size)
-    elif method == b"\x04\x01\x08":
-        out = zlib.decompressobj(-15).decompress(data, size)
-    else:
-        raise SevenZError("unsupported compression method")
-    if len(out) != size:
-        raise SevenZError("a block is shorter than it says")
+        return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": dictionary}]).decompress(data, size)
+    if method == b"\x04\x02\x02":
+        return bz2.BZ2Decompressor().decompress(data, size)
+    if method == b"\x04\x01\x08":
+        return zlib.decompressobj(-15).decompress(data, size)
+    raise SevenZError("unsupported compression method")
+
+
+def _unpack(f, a: Archive, k: int) -> bytes:
+    """A block's contents: its coders one after the other, each with one input and one output."""
+    folder = a.folders[k]
+    first = sum(x.n_packed for x in a.folders[:k])
+    if folder.n_packed != 1 or len(folder.sizes) != len(folder.coders) or max(folder.sizes, default=0) > MOST:
+        raise SevenZError("unsupported combination of coders")
+    f.seek(32 + a.pack_at + sum(a.packs[:first]))
+    out = f.read(a.packs[first])
+    fed = dict(folder.bonds)  # coder -> the coder whose output it reads
+    at = next((c for c in range(len(folder.coders)) if c not in fed), None)
+    for _ in folder.coders:
+        if at is None:
+            raise SevenZError("unsupported combination of coders")
+        out = _decoded(out, *folder.coders[at], folder.sizes[at])
+        if len(out) != folder.sizes[at]:
+            raise SevenZError("a block is shorter than it says")
+        done, at = at, next((c for c, source in fed.items() if source == at), None)
+    if at is not None or done != folder.last:
+        raise SevenZError("unsupported combination of coders")
     return out
 
 
@@ -155,10 +190,9 @@ def _streams(b: _Bytes, a: Archive) -> list[int]:
                     folder.coders.append((method, props))
                     n_in, n_out = n_in + i, n_out + o
                     a.encrypted |= method == AES
-                folder.bonds = n_out - 1
-                for _ in range(folder.bonds):
-                    b.number(), b.number()
-                folder.n_packed = n_in - folder.bonds
+                folder.bonds = [(b.number(), b.number()) for _ in range(n_out - 1)]
+                folder.last = next((k for k in range(n_out) if k not in {out for _, out in folder.bonds}), 0)
+                folder.n_packed = n_in - len(folder.bonds)
                 if folder.n_packed > 1:
                     for _ in range(folder.n_packed):
                         b.number()
@@ -180,7 +214,7 @@ def _streams(b: _Bytes, a: Archive) -> list[int]:
                     folder.streams = b.count()
                 p = b.byte()
             for folder in a.folders:
-                left = folder.sizes[-1]
+                left = folder.size
                 for k in range(folder.streams):
                     own = b.number() if p == 0x09 and k + 1 < folder.streams else left
                     sizes.append(own)
@@ -194,7 +228,7 @@ def _streams(b: _Bytes, a: Archive) -> list[int]:
                 p = b.byte()
         else:
             raise SevenZError("unknown stream property")
-    return sizes if seen_sub else [x.sizes[-1] for x in a.folders]
+    return sizes if seen_sub else [x.size for x in a.folders]
 
 
 def _files(b: _Bytes, a: Archive, sizes: list[int]) -> None:

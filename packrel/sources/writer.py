@@ -239,12 +239,12 @@ def create_archive(spark: SparkSession, path: str, sources: list[str], config: C
 
 
 def create_archives(entries: DataFrame, config: CreationConfig | None = None) -> DataFrame:
-    """Many archives at once: entries with archive (the file to write), archive_path, entry_idx, content.
+    """Many archives at once: entries with archive (the file to write), archive_path, entry_idx, content, and mtime if given.
 
     Returns a report row for each archive.  Entries stream through the task in order.
     """
     config = config or CreationConfig()
-    columns = ["archive", "archive_path", "entry_type", "mode", "symlink_target", "content"]
+    columns = ["archive", "archive_path", "entry_type", "mode", "symlink_target", "content", *(["mtime"] if "mtime" in entries.columns else [])]
 
     def run(batches):
         from itertools import groupby

@@ -28,7 +28,7 @@ def test_whole_report_against_brute_force(spark):
             w["twice"] += 1
         else:
             w["seen"][path] = n
-    got = catalog.queries()["extraction_report_whole"](spark, SF).collect()
+    got = catalog.queries()["extraction_report"](spark, SF).collect()
     assert {r.archive for r in got} == set(want)
     assert {r.error_code for r in got} - {None, "QUOTA_EXCEEDED"}
     for r in got:
