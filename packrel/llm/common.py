@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 _own_dirs: dict[str, str] = {}
+_removed_at_end: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, is a temporary folder taken, one an application.
+    Only where that is unset and all tasks are on this machine, as in tests, is a temporary folder
+    taken, one an application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors share no folder")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="packrel-")
@@ -30,14 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    own = f"{shared_dir(spark)}/packrel/{app}"
+    if own not in _removed_at_end:
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(own)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _removed_at_end.add(own)
+    return own
+
+
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor makes Spark read the files again instead of
-    computing what led to them.
+    computing what led to them.  An application's files are removed when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/packrel/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
