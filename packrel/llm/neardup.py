@@ -13,7 +13,8 @@ values with the same half, which are few (at most 2 ** 13 of 26 bits), and nothi
 
 Large groups of near copies are found first: values are put in order over the cluster, and each text is
 compared with its neighbours under a value, all of them where these are at most eight and the next two
-else; whoever surely resembles a neighbour (by the bits) is in one class with it.  Then every two texts
+else; whoever resembles a neighbour (surely, by the bits, or one of the two nearest, by the shingles) is in one
+class with it.  Then every two texts
 that meet, under one value or two values a bit apart, and are not in one class by then, are compared.
 Within a meeting, texts of its largest class are not compared with each other and all others with
 everyone, in lanes of bounded size.  So a group of copies costs a few comparisons each, and no text
@@ -43,12 +44,13 @@ from .components import components
 #: Mixes of 64 bits and the segments' bits, up to 2**18 texts.
 MIXES, WIDTH, RECALL = 16, 26, 0.95
 BITS = 64 * MIXES
-#: Texts under a value that are all compared; shingles up to which only the shingles decide.
-SMALL, SHORT = 8, 64
+#: Texts under a value that are all compared; shingles up to which only the shingles decide; doubtful
+#: neighbours of a text that are looked at before classes are made.
+SMALL, SHORT, NEAREST = 8, 64, 2
 #: Texts of a meeting that a task compares with all others of it.
 LANE = 2048
 #: Values that are held together; shingles whose bits are counted together (a byte each).
-ROWS, AT_ONCE = 1 << 20, 255
+ROWS, AT_ONCE = 1 << 18, 255
 
 
 def shape(n: int, similarity: float) -> tuple[int, int]:
@@ -169,109 +171,125 @@ def _values(prints: DataFrame, width: int) -> DataFrame:
     return prints.select("node", "f").mapInArrow(run, "key long, node long")
 
 
-def _grown(batches, columns: int):
-    """Arrays of at least ROWS rows each time, and whether they are the last; what the caller sends back is put before the next."""
-    held, n, kept = [], 0, [np.zeros(0, np.int64)] * columns
+def _buffers(batches, columns: int):
+    """Columns of at least ROWS rows at a time."""
+    import pyarrow as pa
+
+    held, n = [], 0
     for batch in batches:
-        held.append([batch.column(k).to_numpy() for k in range(columns)])
+        held.append(batch)
         n += batch.num_rows
         if n >= ROWS:
-            kept = yield [np.concatenate([kept[k], *(h[k] for h in held)]) for k in range(columns)], False
+            yield pa.Table.from_batches(held).combine_chunks().columns[:columns]
             held, n = [], 0
-    yield [np.concatenate([kept[k], *(h[k] for h in held)]) for k in range(columns)], True
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().columns[:columns]
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal keys begin, and their lengths."""
+    starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    return starts, np.diff(np.append(starts, len(key)))
 
 
 def _neighbours(values: DataFrame) -> DataFrame:
-    """u < v that stand near each other under a key, and (edge) the first and last key of each partition.
+    """Rows of three kinds.  pair: u < v that stand near each other under a key; key: a key, how many texts it has (n) and the least of them (u).
 
-    The order is one over the cluster, by key and node, so that a key held by many texts takes as
-    many partitions as it needs.
+    The order is one over the cluster, by key and node, so that a key held by many texts takes as many
+    partitions as it needs.  What a partition knows of its first and last key, of which others may
+    hold more, comes as kind edge.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        pairs: list = []
-        edges: list = []
-
-        def compare(key, node):
-            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
-            size = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
-            for shift in range(1, SMALL):
-                same = (key[shift:] == key[:-shift]) & ((size[shift:] <= SMALL) | (shift <= 2))
-                at = np.flatnonzero(same)
-                if not len(at):
-                    break
-                pairs.append((node[at], node[at + shift]))
-
-        source = _grown(batches, 2)
-        (key, node), last = next(source)
-        if len(key):
-            edges.append(int(key[0]))
-        while True:
-            cut = len(key)
-            if not last:  # the last key may go on
-                cut = int(np.searchsorted(key, key[-1])) or len(key)
-                carry = cut if cut < len(key) else max(0, len(key) - 2)
-            compare(key[:cut], node[:cut])
-            if len(key):
-                end = int(key[-1])
+        def rows(kind, u, v, key, n):
+            columns = [pa.nulls(len(u), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (u, v, key, n)]
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(u), pa.string()), *columns], ["kind", "u", "v", "key", "n"])
+
+        tail_key = tail_node = np.zeros(0, np.int64)
+        going, first = None, True  # the last run so far: key, texts, least
+        for key, node in _buffers(batches, 2):
+            key, node = key.to_numpy(), node.to_numpy()
+            k, x, t = np.concatenate([tail_key, key]), np.concatenate([tail_node, node]), len(tail_key)
+            _, sizes = _runs(k)
+            each, pairs = np.repeat(sizes, sizes), []
+            for shift in range(1, min(SMALL, len(k))):
+                at = np.flatnonzero((k[shift:] == k[:-shift]) & ((each[shift:] <= SMALL) | (shift <= 2)))
+                at = at[at + shift >= t]
+                pairs.append((x[at], x[at + shift]))
             if pairs:
-                u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "edge"])
-                pairs.clear()
-            if last:
-                break
-            (key, node), last = source.send([key[carry:], node[carry:]])
-        if edges:
-            edges.append(end)
-            yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), pa.array(edges)], ["u", "v", "edge"])
+                u, v = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                yield rows("pair", u, v, None, None)
+            tail_key, tail_node = k[-SMALL + 1 :], x[-SMALL + 1 :]
+            starts, n = _runs(key)
+            own, least = key[starts], node[starts]
+            if going is not None and own[0] == going[0]:
+                going[1] += int(n[0])
+                own, n, least = own[1:], n[1:], least[1:]
+            if len(own):
+                done = [np.concatenate([np.array([] if going is None else [going[j]], np.int64), c[:-1]]) for j, c in enumerate((own, n, least))]
+                going = [int(own[-1]), int(n[-1]), int(least[-1])]
+                if first and len(done[0]):
+                    yield rows("edge", done[2][:1], None, done[0][:1], done[1][:1])
+                    done, first = [c[1:] for c in done], False
+                if len(done[0]):
+                    yield rows("key", done[2], None, done[0], done[1])
+        if going is not None:
+            yield rows("edge", [going[2]], None, [going[0]], [going[1]])
 
     ordered = values.repartitionByRange(partitions(values.sparkSession), "key", "node").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "u long, v long, edge long")
+    return ordered.mapInArrow(run, "kind string, u long, v long, key long, n long")
 
 
 def _one_bit_apart(keys: DataFrame, width: int) -> DataFrame:
-    """keys: distinct key.  a and b of all keys that differ in one bit of the value, b having it."""
+    """keys: distinct key, and node where it is the only one.  a, b: keys that differ in one bit of the value, b having it; u, v: their nodes."""
     low = width // 2
     high = width - low
+    half = 1 << 62
     x = F.col("key").bitwiseAND(F.lit((1 << width) - 1))
     segment = F.shiftleft(F.shiftright("key", width), width)
-    # Turned so that the half that varies stands last.
-    turned = segment + F.shiftleft(x.bitwiseAND(F.lit((1 << low) - 1)), high) + F.shiftright(x, low)
-    halves = keys.select(F.explode(F.array(F.struct(F.lit(0).alias("h"), F.col("key").alias("t")), F.struct(F.lit(1).alias("h"), turned.alias("t")))).alias("s")).select("s.h", "s.t")
-    halves = halves.withColumn("fixed", F.when(F.col("h") == 0, F.shiftright("t", low)).otherwise(F.shiftright("t", high)))
+    # Turned, and marked by its highest bit, so that the half that varies stands last.
+    turned = segment + F.shiftleft(x.bitwiseAND(F.lit((1 << low) - 1)), high) + F.shiftright(x, low) + F.lit(half)
+    halves = keys.select(F.explode(F.array("key", turned)).alias("t"), "node")
+    fixed = F.when(F.col("t") < half, F.shiftright("t", low)).otherwise(F.shiftright("t", high))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        source = _grown(batches, 3)
-        (h, t, fixed), last = next(source)
-        while True:
-            # Only whole groups of one half and one fixed part.
-            cut = len(t)
-            if not last:
-                new = np.flatnonzero((h[1:] != h[:-1]) | (fixed[1:] != fixed[:-1]))
-                cut = int(new[-1]) + 1 if len(new) else 0
-            for half, bits in ((0, low), (1, high)):
-                own = t[:cut][h[:cut] == half]
+        def found(t, node, alone):
+            """Of whole groups in order of t."""
+            split = int(np.searchsorted(t, half))
+            for begin, end, bits, back in ((0, split, low, False), (split, len(t), high, True)):
+                own = t[begin:end]
                 for bit in range(bits if len(own) else 0):
-                    a = own[(own >> bit) & 1 == 0]
-                    b = a | (1 << bit)
-                    at = np.searchsorted(own, b)
-                    found = own[np.minimum(at, len(own) - 1)] == b
-                    a, b = a[found], b[found]
-                    if half:
-                        a, b = ((y >> width << width) + ((y & ((1 << high) - 1)) << low) + ((y >> high) & ((1 << low) - 1)) for y in (a, b))
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            if last:
-                return
-            h, t, fixed = h[cut:], t[cut:], fixed[cut:]
-            (h, t, fixed), last = source.send([h, t, fixed])
-
-    dealt = halves.repartition(partitions(keys.sparkSession), "h", "fixed").sortWithinPartitions("h", "t")
-    return dealt.select(F.col("h").cast("long").alias("h"), "t", "fixed").mapInArrow(run, "a long, b long")
+                    a = np.flatnonzero((own >> bit) & 1 == 0)
+                    want = own[a] | (1 << bit)
+                    b = np.minimum(np.searchsorted(own, want), len(own) - 1)
+                    there = own[b] == want
+                    a, b = a[there], b[there]
+                    if not len(a):
+                        continue
+                    ka, kb = own[a], own[b]
+                    if back:
+                        ka, kb = (((y - half) >> width << width) + ((y & ((1 << high) - 1)) << low) + ((y >> high) & ((1 << low) - 1)) for y in (ka, kb))
+                    u, v = (pa.array(node[begin + i], pa.int64(), mask=~alone[begin + i]) for i in (a, b))
+                    yield pa.RecordBatch.from_arrays([pa.array(ka), pa.array(kb), u, v], ["a", "b", "u", "v"])
+
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        for t, node in _buffers(batches, 2):
+            alone = pc.is_valid(node).to_numpy()
+            kept = [np.concatenate([k, x]) for k, x in zip(kept, (t.to_numpy(), pc.fill_null(node, 0).to_numpy(), alone), strict=True)]
+            t = kept[0]
+            group = np.where(t < half, t >> low, t >> high)
+            cut = int(np.searchsorted(t, t[np.flatnonzero(group == group[-1])[0]]))  # the last group may go on
+            yield from found(*(k[:cut] for k in kept))
+            kept = [k[cut:] for k in kept]
+        yield from found(*kept)
+
+    dealt = halves.repartition(partitions(keys.sparkSession), fixed).sortWithinPartitions("t")
+    return dealt.mapInArrow(run, "a long, b long, u long, v long")
 
 
 class _Test:
@@ -291,10 +309,10 @@ class _Test:
         return d, may, may & long & (d <= self.sure)
 
     def of_pairs(self, pairs: DataFrame, prints: DataFrame) -> DataFrame:
-        """pairs: u, v.  Candidates, and whether they are sure."""
+        """pairs: u, v.  Candidates, their distance, and whether they are sure."""
         a, b = (prints.select(F.col("node").alias(x), F.col("m").alias(f"m{x}"), F.col("f").alias(f"f{x}")) for x in "uv")
-        _, may, sure = self.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
-        return pairs.join(a, "u").join(b, "v").filter(may).select("u", "v", sure.alias("sure"))
+        d, may, sure = self.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
+        return pairs.join(a, "u").join(b, "v").filter(may).select("u", "v", d.alias("d"), sure.alias("sure"))
 
 
 def _meetings(met: DataFrame, values: DataFrame, roots: DataFrame, prints: DataFrame, test: _Test) -> DataFrame:
@@ -347,25 +365,39 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     """prints: distinct node, with m and f; texts: node, text.  u, v: links that connect what resembles each other."""
     test = _Test(similarity, mixes)
     values = materialize(_values(prints, width), "segment-values")
-    near = materialize(_neighbours(values), "neighbours")
-    first = materialize(test.of_pairs(near.filter("u IS NOT NULL").select("u", "v").distinct(), prints), "near")
-    # Classes of what is surely near, to spare comparisons within large groups.
-    roots = materialize(components(first.filter("sure").select("u", "v")), "roots")
-    keys = values.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("key")
-    keys = materialize(keys.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("root").alias("least"), F.max("root").alias("most")), "keys")
-    a, b = (keys.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "node", "least", "most")]) for x in "ab")
-    apart = _one_bit_apart(keys.select("key"), width).join(a, "a").join(b, "b").filter(F.least("least_a", "least_b") < F.greatest("most_a", "most_b"))
-    apart = materialize(apart.select("a", "b", ((F.col("n_a") == 1) & (F.col("n_b") == 1)).alias("two"), F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")), "values-met")
+    near = materialize(_neighbours(values), "neighbours", "kind")
+    first = materialize(test.of_pairs(near.filter("kind = 'pair'").select("u", "v").distinct(), prints), "near")
+    # Classes that spare comparisons within large groups: of what is surely near, and of each text's
+    # nearest doubtful neighbours (it has SMALL - 1 under each of its keys, at most).
+    nearest = first.filter("NOT sure").groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "v"))), 1, NEAREST).alias("x"))
+    nearest = materialize(nearest.select("u", F.explode("x.v").alias("v")), "nearest")
+    near_links = materialize(first.filter("sure").select("u", "v").unionByName(_resembling(nearest, texts, words, similarity)), "near-links")
+    roots = materialize(components(near_links), "roots")
+    root = lambda key, side: F.coalesce(F.col(f"r{side}"), F.col(key))
+    ru, rv = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    edge = near.filter("kind = 'edge'").groupBy("key").agg(F.sum("n").alias("n"), F.min("u").alias("u"))
+    keys = near.filter("kind = 'key'").select("key", "n", "u").unionByName(edge)
+    several = materialize(keys.filter("n > 1").select("key", "n"), "several")
+    held = several.join(values, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = materialize(held.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")), "classes")
+    apart = materialize(_one_bit_apart(keys.select("key", F.when(F.col("n") == 1, F.col("u")).alias("node")), width), "values-met")
+    single = F.col("u").isNotNull() & F.col("v").isNotNull()
+    two = apart.filter(single).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    two = two.join(ru, "u", "left").join(rv, "v", "left").filter(root("u", "u") != root("v", "v")).select("u", "v")
+    sides = apart.filter(~single).select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("u").alias("node")), F.struct(F.col("b").alias("key"), F.col("v").alias("node")))).alias("s"))
+    sides = sides.select("a", "b", "s.key", "s.node").join(held.drop("n"), "key", "left").join(roots, "node", "left")
+    own = F.coalesce("root", "node")
+    met = sides.groupBy("a", "b").agg(F.min(F.coalesce("least", own)).alias("least"), F.max(F.coalesce("most", own)).alias("most")).filter("least < most").select("a", "b")
     # Keys whose texts weren't all compared; two edges a partition at most.
-    edges = near.filter("edge IS NOT NULL").select(F.col("edge").alias("key"), F.lit(True).alias("edge")).distinct()
-    alone = keys.filter("least < most").join(F.broadcast(edges), "key", "left").filter((F.col("n") > SMALL) | F.col("edge"))
-    met = apart.filter("NOT two").select("a", "b").unionByName(alone.select(F.col("key").alias("a"), F.col("key").alias("b")))
-    found = test.of_pairs(apart.filter("two").select("u", "v").distinct(), prints).unionByName(_meetings(met, values, roots, prints, test))
+    edges = near.filter("kind = 'edge'").select("key", F.lit(True).alias("edge")).distinct()
+    alone = held.filter("least < most").join(F.broadcast(edges), "key", "left").filter((F.col("n") > SMALL) | F.col("edge"))
+    met = met.unionByName(alone.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    found = test.of_pairs(two, prints).select("u", "v", "sure").unionByName(_meetings(met, values, roots, prints, test))
     more = materialize(found.groupBy("u", "v").agg(F.max("sure").alias("sure")), "near")
-    # Doubtful pairs of one class decide nothing.
-    ru, rv = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
-    open_ = first.filter("NOT sure").join(ru, "u", "left").join(rv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    doubtful = materialize(open_.unionByName(more.filter("NOT sure").select("u", "v")).distinct(), "doubtful")
+    # Doubtful pairs of one class decide nothing; those looked at are decided.
+    left = first.filter("NOT sure").select("u", "v").join(nearest, ["u", "v"], "left_anti")
+    left = left.join(ru, "u", "left").join(rv, "v", "left").filter(root("u", "u") != root("v", "v")).select("u", "v")
+    doubtful = materialize(left.unionByName(more.filter("NOT sure").select("u", "v")).distinct(), "doubtful")
     known = roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more.filter("sure").select("u", "v"))
     return known.unionByName(_resembling(doubtful, texts, words, similarity))
 

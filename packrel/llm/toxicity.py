@@ -33,7 +33,7 @@ CHAR_BUCKETS, OOV_BUCKETS, VOCABULARY = 1024, 512, 20_000
 #: Windows that go through the network at a time.
 WINDOWS_AT_ONCE, HEATED_AT_ONCE = 512, 8192
 #: Texts, and characters of texts, whose words are numbered together; words whose bigrams are.
-AT_ONCE, CHARS_AT_ONCE, WORDS_AT_ONCE = 1024, 4 << 20, 1 << 15
+AT_ONCE, CHARS_AT_ONCE, WORDS_AT_ONCE = 1024, 2 << 20, 1 << 15
 _BLANK = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
 
 
