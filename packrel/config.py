@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, field, replace
 
 MIB = 1024 * 1024
+# The banned names, and the fields and defaults below, which must match for right results.
 BANNED = (".git", ".ssh", ".gnupg", ".aws", ".kube", ".docker", ".env")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packrel.schemas import RANK
 
 ERROR = "struct<code:string,message:string,issue:string,severity:string,severity_rank:int,category:string>"
+# Codes, severities, categories and texts, which must match for right results.
 #: code -> severity, category and kind of the issue it becomes.
 ISSUES = {
     "PATH_TRAVERSAL": ("Critical", "PathTraversal", "PathTraversal"),

@@ -24,8 +24,6 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def _batches(rows: Iterator[dict], with_content: bool):
-    from decimal import Decimal
-
     import pyarrow as pa
 
     schema = pa.schema(
@@ -36,16 +34,26 @@ def _batches(rows: Iterator[dict], with_content: bool):
             *([("content", pa.binary())] if with_content else []),
         ]
     )
-    held, n = [], 0
+    names = schema.names
+    columns: list[list] = [[] for _ in names]
+    n = 0
+
+    def batch():
+        # Sizes are unsigned 64-bit numbers; everything else is as it will be.
+        arrays = [pa.array(c, pa.uint64()).cast(f.type) if f.name == "size" else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+        for c in columns:
+            c.clear()
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
     for row in rows:
-        row["size"] = None if row["size"] is None else Decimal(row["size"])
-        held.append(row)
+        for c, name in zip(columns, names, strict=True):
+            c.append(row[name])
         n += len(row["content"] or b"")
-        if len(held) >= BATCH_ROWS or n >= BATCH_BYTES:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+        if len(columns[0]) >= BATCH_ROWS or n >= BATCH_BYTES:
+            yield batch()
+            n = 0
+    if columns[0]:
+        yield batch()
 
 
 def entries_of_files(files: DataFrame, with_content: bool = False, budget: int = 4 << 20) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from packrel.functions import paths as P
 
+# Names and leading bytes of the formats, which must match for right results.
 #: Names of what is a ZIP file in all but name.
-ZIP_FAMILY = ("apk", "aab", "appx", "ear", "epub", "ipa", "jar", "msix", "nar", "nbm", "vsix", "war", "whl", "xpi")
+ZIP_FAMILY = ("jar", "war", "ear", "nar", "nbm", "apk", "aab", "ipa", "appx", "msix", "whl", "vsix", "xpi", "epub")
 EXTENSIONS = {
     "tar": "Tar", "tgz": "TarGz", "bz2": "TarBz2", "tbz": "TarBz2", "tbz2": "TarBz2", "xz": "TarXz", "txz": "TarXz",
     "zst": "TarZst", "tzst": "TarZst", "zip": "Zip", "7z": "SevenZ",

@@ -22,7 +22,7 @@ from .detect import HEADER, format_of_bytes, format_of_name
 
 #: The largest target of a ZIP symlink, and how much a hole in a file may make up.
 MOST_TARGET, MOST_SKIPPED = 4096, 1 << 40
-CHUNK = 1 << 16
+CHUNK = 1 << 20
 COLUMNS = [
     "archive", "format", "entry_idx", "path", "raw_path", "entry_type", "size", "compressed_size", "mode", "modified",
     "symlink_target", "hardlink_target", "typeflag", "method", "encrypted", "is_solid", "scan_error", "content",
@@ -88,8 +88,13 @@ class Forward(io.RawIOBase):
         return self.at
 
 
+_NOTHING = dict.fromkeys(COLUMNS) | {"encrypted": False, "is_solid": False}
+
+
 def _row(archive: str, fmt: str | None, idx: int, **given) -> dict:
-    return {c: None for c in COLUMNS} | {"archive": archive, "format": fmt, "entry_idx": idx, "encrypted": False, "is_solid": False} | given
+    row = _NOTHING.copy()
+    row.update(given, archive=archive, format=fmt, entry_idx=idx)
+    return row
 
 
 def _name(raw: bytes) -> dict:
