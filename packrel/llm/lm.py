@@ -12,7 +12,8 @@ stored as table sizes and sampled by Gibbs: a customer drawn at random leaves it
 anew given all others, at a table in proportion to its size less the discount or at a new one in
 proportion to the parent's probability.  A sweep does that for as many customers as a dish has, at
 most ``STEPS`` (random-scan Gibbs: frequent dishes are moved more slowly, from a start near their
-equilibrium; dishes of one customer have one seating).  Restaurants of a level are sampled in
+equilibrium; dishes of one customer have one seating, and of those of more than ``LARGE`` the number of
+tables is drawn from the process anew).  Restaurants of a level are sampled in
 parallel, given the state of the level above after its last step.  Predictive probabilities are
 averaged over the sampled seatings, the very ones that were stored, with their own totals: they sum to
 one over all words.  Discounts are n1 / (n1 + 2 n2), the strength is 1.
@@ -46,7 +47,7 @@ from .common import materialize
 BLOCK_TOKENS, BLOCK_DOCS, AT_ONCE = 3_000_000, 20_000, 200_000
 #: Tokens that a partition of pairs, and of words, stands for.
 PAIR_TOKENS, WORD_TOKENS = 4_000_000, 8_000_000
-SAMPLES, SWEEPS, STEPS, STRENGTH, HOT = 2, 2, 8, 1.0, 512
+SAMPLES, SWEEPS, STEPS, STRENGTH, HOT, LARGE = 2, 2, 8, 1.0, 512, 4096
 #: The end of a text, spelled as a byte that no word holds; the byte that ends a spelling.
 END, STOP, CLASSES, BYTES = b"\x0b", 10, 33, 256
 ORDER = 3
@@ -148,7 +149,11 @@ def _classes(sizes: np.ndarray):
 
 
 class Seats:
-    """Tables of many dishes: n customers and t tables of each, and the sizes of the tables of dishes of two customers and more, one dish's after another's.
+    """Tables of many dishes: n customers and t tables of each, and the sizes of the tables of dishes of two to LARGE customers, one dish's after another's.
+
+    Of larger dishes only the number of tables is held; it is drawn anew in each sweep from the process,
+    given all other dishes, a twentieth of the customers at a time.  So what is held and done for a
+    dish is bounded however often it occurs.
 
     ``base`` is the parent's probability of a dish, ``others`` the number of tables that its restaurant has besides the dish's own.
     """
@@ -161,7 +166,7 @@ class Seats:
         """Where sampling starts: seated in order, customers spread over a dish's tables at random."""
         out = cls(n, seat(rng, n.astype(float), base, d, others), np.zeros(0))
         done = []
-        for at, s in _classes(np.where(out.n > 1, out.t, 0)):
+        for at, s in _classes(out._flat()):
             there = np.arange(s) < out.t[at, None]
             slots = there.astype(np.int64)
             _join(rng, slots, out.n[at] - out.t[at], np.where(there, rng.gamma(1 - d, size=slots.shape), 0))
@@ -169,8 +174,12 @@ class Seats:
         out._put(done)
         return out
 
+    def _flat(self) -> np.ndarray:
+        """How many sizes are held of each dish."""
+        return np.where((self.n > 1) & (self.n <= LARGE), self.t, 0)
+
     def _slots(self, at: np.ndarray, s: int) -> np.ndarray:
-        flat = np.where(self.n > 1, self.t, 0)
+        flat = self._flat()
         starts = np.cumsum(flat) - flat
         out = np.zeros((len(at), s), np.int64)
         there = np.arange(s) < flat[at, None]
@@ -179,10 +188,10 @@ class Seats:
         return out
 
     def _put(self, done: list) -> None:
-        """done: dishes and their slots; every dish of two customers and more is among them."""
+        """done: dishes and their slots; every dish of two to LARGE customers is among them."""
         for at, slots in done:
             self.t[at] = (slots > 0).sum(axis=1)
-        flat = np.where(self.n > 1, self.t, 0)
+        flat = self._flat()
         starts = np.cumsum(flat) - flat
         self.sizes = np.empty(int(flat.sum()), np.int64)
         for at, slots in done:
@@ -192,39 +201,45 @@ class Seats:
 
     def sweep(self, rng, base: np.ndarray, d: float, others: np.ndarray) -> None:
         """Gibbs: customers drawn at random leave, one of a dish at a time, and are seated given the rest."""
-        steps = np.where(self.n > 1, np.minimum(self.n, STEPS), 0)
+        large = self.n > LARGE
+        steps = np.where((self.n > 1) & ~large, np.minimum(self.n, STEPS), 0)
         done = []
-        for at, s in _classes(np.where(self.n > 1, np.minimum(self.n, self.t + steps), 0)):
+        for at, s in _classes(np.where(steps > 0, np.minimum(self.n, self.t + steps), 0)):
             for moves in np.unique(steps[at]):
                 own = at[steps[at] == moves]
                 slots = self._slots(own, s)
                 reseat(rng, slots, self.n[own], base[own], d, others[own], int(moves))
                 done.append((own, slots))
+        self.t[large] = seat(rng, self.n[large].astype(float), base[large], d, others[large])
         self._put(done)
 
     def follow(self, rng, n: np.ndarray, base: np.ndarray, d: float, others: np.ndarray) -> None:
         """To new numbers of customers: who is too many leaves at random, who is new is seated; a twentieth of a dish at a time."""
-        room = np.maximum(1, self.t + np.maximum(0, n - self.n))
+        room = np.maximum(1, np.where(self.n > LARGE, n // 4, self.t) + np.maximum(0, n - self.n))
         done = []
-        for at, s in _classes(np.where((n > 1) | (self.n > 1), room, 0)):
+        for at, s in _classes(np.where((n <= LARGE) & ((n > 1) | (self.n > 1)), room, 0)):
             slots, want = self._slots(at, s), n[at]
-            while (todo := np.flatnonzero(slots.sum(axis=1) > want)).size:
-                now = slots[todo].sum(axis=1)
-                m = np.minimum(now - want[todo], np.maximum(1, now // 20))
-                slots[todo] -= np.minimum(slots[todo], rng.multinomial(m, slots[todo] / now[:, None] / (1 + 1e-9)))
-            while (todo := np.flatnonzero(slots.sum(axis=1) < want)).size:
+            now = slots.sum(axis=1)
+            while (todo := np.flatnonzero(now > want)).size:
+                m = np.minimum(now[todo] - want[todo], np.maximum(1, now[todo] // 20))
+                slots[todo] -= np.minimum(slots[todo], rng.multinomial(m, slots[todo] / now[todo, None] / (1 + 1e-9)))
+                now[todo] = slots[todo].sum(axis=1)
+            while (todo := np.flatnonzero(now < want)).size:
                 x = slots[todo]
-                now, there = x.sum(axis=1), x > 0
-                m = np.minimum(want[todo] - now, np.maximum(1, now // 20))
+                have, there = now[todo], x > 0
+                m = np.minimum(want[todo] - have, np.maximum(1, have // 20))
                 weights = np.where(there, x - d, 0.0)
                 opens = (STRENGTH + d * (others[at[todo]] + there.sum(axis=1))) * base[at[todo]]
                 new = np.minimum(rng.binomial(m, opens / (opens + weights.sum(axis=1))), (~there).sum(axis=1))
-                new = np.where(now > 0, new, 1)
+                new = np.where(have > 0, new, 1)
                 x += ~there & (np.cumsum(~there, axis=1) <= new[:, None])
-                _join(rng, x, m - new, np.where(now[:, None] > 0, weights, x))
+                _join(rng, x, m - new, np.where(have[:, None] > 0, weights, x))
                 slots[todo] = x
+                now[todo] = have + m
             done.append((at, slots))
         self.n, self.t = n.astype(np.int64), np.minimum(n, 1).astype(np.int64)
+        large = n > LARGE
+        self.t[large] = seat(rng, n[large].astype(float), base[large], d, others[large])
         self._put(done)
 
 
@@ -277,7 +292,7 @@ def spelled(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Speller:
     """Byte restaurants of contexts 3 to 0: counts and tables of each (context, byte) that occurs."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, seed: int, sweeps: int = SWEEPS):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, seed: int, sweeps: int = 1):
         rng = np.random.default_rng(seed)
         self.keys, self.seats, self.d = [keys], [], []
         for k in range(ORDER + 1):  # a start: from the longest contexts up, over uniform parents
