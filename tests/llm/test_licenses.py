@@ -40,3 +40,30 @@ def test_rows(odd, none, odd_rows):
         assert 0 <= r.score <= 1
     assert [r.labels for r in got if r.doc_id == 6] == [["mit"]]
     assert L.scan_licenses(none).collect() == []
+
+
+def test_long_expressions_and_what_stands_behind_them():
+    long = " AND ".join(["(MIT OR Apache-2.0)"] * 250)  # 2 ** 250 ways to satisfy it
+    assert len(long) > 5000
+    got = L.scan(f"// SPDX-License-Identifier: {long}\n")
+    assert got["labels"] == {"mit", "apache-2"} and len(got["tags"]) == 1
+    order = L.postfix(long)
+    assert L.permits(order, {"mit"}) and not L.permits(order, {"gpl-2.0"})
+    assert L.scan("SPDX-License-Identifier: MIT Copyright X")["labels"] == {"mit"}
+    assert L.scan("x SPDX-License-Identifier: MIT.\x0bGPL-2.0")["labels"] == {"mit"}
+    assert L.scan("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 OR MIT\x0cBSD")["labels"] == {"gpl-2", "mit"}
+    assert L.scan("SPDX-License-Identifier: (MIT OR")["labels"] == set()
+    assert L.scan("spdx license identifier: MIT")["tags"] == []
+    order = L.postfix("MIT AND GPL-2.0 WITH Classpath-exception-2.0 OR BSD-3-Clause")
+    assert L.permits(order, {"mit", "gpl-2.0"}) and L.permits(order, {"bsd-3-clause"}) and not L.permits(order, {"mit"})
+    assert L.named(order) == {"mit", "gpl-2.0", "bsd-3-clause"}
+
+
+def test_permits_agrees_with_the_ways():
+    for text in ("MIT", "MIT OR A AND B", "(MIT OR A) AND (B OR C WITH x)", "A AND B AND C OR MIT"):
+        names, ways = L.evaluate(text)
+        order = L.postfix(text)
+        assert L.named(order) == names
+        for bits in range(1 << len(names)):
+            allowed = {x for k, x in enumerate(sorted(names)) if bits >> k & 1}
+            assert L.permits(order, allowed) == any(w <= allowed for w in ways)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from packrel.llm import mixing, queries, sharding
 
@@ -63,3 +64,29 @@ def test_reweighting_moves_only_into_or_out_of_the_subtree(spark):
     b = {r.doc_id: r.shard for r in sharding.assign_shards(df, changed).collect()}
     moved = [(a[i], b[i]) for i in a if a[i] != b[i]]
     assert moved and all(y in range(4, 8) for _, y in moved) and not any(x < 4 and y < 4 for x, y in moved)
+
+
+def test_shards_against_a_tree_of_its_own(spark):
+    """Weighted draws of regions, racks and shards, computed key by key."""
+    import math
+
+    import xxhash
+
+    def draw(key, path):
+        h = xxhash.xxh64_intdigest(path.encode(), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42))
+        return -math.log(((h >> 11) + 0.5) / 2.0**53)
+
+    def weight(node):
+        return sum(map(weight, node.values())) if isinstance(node, dict) else node
+
+    def shard(key, tree):
+        path, node = "", tree
+        for _ in range(3):
+            name = min(node, key=lambda c: draw(key, f"{path}/{c}") / weight(node[c])) if len(node) > 1 else next(iter(node))
+            path, node = f"{path}/{name}", node[name]
+        return int(name)
+
+    tree = {"a": {"r": {0: 1.0, 1: 3.0}, "s": {2: 1.0}}, "b": {"t": {3: 2.0, 4: 0.5}}}
+    got = spark.range(-200, 800).select("id", sharding.place(F.col("id"), tree).alias("s")).collect()
+    assert [r.s for r in got] == [shard(r.id, tree) for r in got]
+    assert {r.s for r in got} == {0, 1, 2, 3, 4}

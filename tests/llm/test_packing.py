@@ -69,3 +69,17 @@ def test_round_trip(spark, odd, odd_rows):
 
 def test_empty(none):
     assert packing.pack(none).collect() == []
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 200_000, "a b " * 2000 + " \t" * 3000, "x<|endoftext|>y", "é" * 1500 + " 中文", "\u3000" * 1200])
+def test_ids_are_the_json_tokenizers(text):
+    """Long runs and the special token too."""
+    json = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), json)
+    assert list(encode(text)) == Tokenizer.from_file(json).encode(text, add_special_tokens=False).ids
+
+
+def test_a_row_repeated_very_often_fills_all_lanes(spark):
+    df = spark.createDataFrame([(1, "same words")] * 3000, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, 64).collect()
+    assert len(got) == 3000 and len({(r.sequence_id, r.offset) for r in got}) == 3000
