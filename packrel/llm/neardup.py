@@ -13,8 +13,9 @@ values with the same half, which are few (at most 2 ** 13 of 26 bits), and nothi
 
 Large groups of near copies are found first: values are put in order over the cluster, and each text is
 compared with its neighbours under a value, all of them where these are at most eight and the next two
-else; whoever resembles a neighbour (surely, by the bits, or one of the two nearest, by the shingles) is in one
-class with it.  Then every two texts
+else; where they are more, also with the one among them that has met the most candidates, as edits of one
+text resemble it more than each other.  Whoever resembles another one of these (surely, by the bits, or, of
+the nearest and that one, by the shingles) is in one class with it.  Then every two texts
 that meet, under one value or two values a bit apart, and are not in one class by then, are compared.
 Within a meeting, texts of its largest class are not compared with each other and all others with
 everyone, in lanes of bounded size.  So a group of copies costs a few comparisons each, and no text
@@ -38,15 +39,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, shielded
+from .common import lanes, materialize, partitions, shielded, spread_join
 from .components import components
 
 #: Mixes of 64 bits and the segments' bits, up to 2**18 texts.
 MIXES, WIDTH, RECALL = 16, 26, 0.95
 BITS = 64 * MIXES
-#: Texts under a value that are all compared; shingles up to which only the shingles decide; doubtful
-#: neighbours of a text that are looked at before classes are made.
-SMALL, SHORT, NEAREST = 8, 64, 2
+#: Texts under a value that are all compared; shingles up to which only the shingles decide.
+SMALL, SHORT = 8, 64
 #: Texts of a meeting that a task compares with all others of it.
 LANE = 2048
 #: Values that are held together; shingles whose bits are counted together (a byte each).
@@ -292,6 +292,12 @@ def _one_bit_apart(keys: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, u long, v long")
 
 
+def _with_both(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """pairs: u, v; a, b: a row for each u, and each v.  In lanes, as one text may be in very many pairs."""
+    n = lanes(pairs.sparkSession)
+    return spread_join(spread_join(pairs, "u", a, F.pmod(F.xxhash64("v"), F.lit(n))), "v", b, F.pmod(F.xxhash64("u"), F.lit(n)))
+
+
 class _Test:
     """What a pair of texts needs to be a candidate, and when it needs no look at the texts."""
 
@@ -312,7 +318,7 @@ class _Test:
         """pairs: u, v.  Candidates, their distance, and whether they are sure."""
         a, b = (prints.select(F.col("node").alias(x), F.col("m").alias(f"m{x}"), F.col("f").alias(f"f{x}")) for x in "uv")
         d, may, sure = self.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
-        return pairs.join(a, "u").join(b, "v").filter(may).select("u", "v", d.alias("d"), sure.alias("sure"))
+        return _with_both(pairs, a, b).filter(may).select("u", "v", d.alias("d"), sure.alias("sure"))
 
 
 def _meetings(met: DataFrame, values: DataFrame, roots: DataFrame, prints: DataFrame, test: _Test) -> DataFrame:
@@ -357,7 +363,7 @@ def _resembling(doubtful: DataFrame, texts: DataFrame, words: int, similarity: f
                 keep.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    with_texts = doubtful.join(whole.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    with_texts = _with_both(doubtful, whole.select(F.col("node").alias("u"), F.col("text").alias("a")), whole.select(F.col("node").alias("v"), F.col("text").alias("b")))
     return with_texts.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
@@ -367,17 +373,28 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     values = materialize(_values(prints, width), "segment-values")
     near = materialize(_neighbours(values), "neighbours", "kind")
     first = materialize(test.of_pairs(near.filter("kind = 'pair'").select("u", "v").distinct(), prints), "near")
-    # Classes that spare comparisons within large groups: of what is surely near, and of each text's
-    # nearest doubtful neighbours (it has SMALL - 1 under each of its keys, at most).
-    nearest = first.filter("NOT sure").groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "v"))), 1, NEAREST).alias("x"))
-    nearest = materialize(nearest.select("u", F.explode("x.v").alias("v")), "nearest")
+    edge = near.filter("kind = 'edge'").groupBy("key").agg(F.sum("n").alias("n"), F.min("u").alias("u"))
+    keys = near.filter("kind = 'key'").select("key", "n", "u").unionByName(edge)
+    several = materialize(keys.filter("n > 1").select("key", "n"), "several")
+    # A group of edits resembles its original more than each other: under a key of many, the text with
+    # the most candidates so far meets all others.
+    both = lambda pairs, *more: pairs.select("u", "v", *more).unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), *more))
+    met_by = both(first).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+    crowd = materialize(several.filter(F.col("n") > SMALL).select("key").join(values, "key").join(met_by, "node"), "crowds")
+    heads = crowd.groupBy("key").agg(F.max(F.struct("met", "node")).alias("head"))
+    lane = F.pmod(F.xxhash64("node"), F.lit(lanes(values.sparkSession)))
+    led = spread_join(crowd.select("key", "node"), "key", heads, lane).groupBy("node").agg(F.max("head")["node"].alias("head")).filter("node <> head")
+    led = materialize(test.of_pairs(led.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct(), prints), "led")
+    # Classes that spare comparisons within large groups: of what is surely near, of each text's nearest
+    # doubtful partner, and of who is led.
+    first = first.unionByName(led).distinct()
+    ranked = both(first.filter("NOT sure"), "d").groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+    nearest = ranked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(led.filter("NOT sure").select("u", "v")).distinct()
+    nearest = materialize(nearest, "nearest")
     near_links = materialize(first.filter("sure").select("u", "v").unionByName(_resembling(nearest, texts, words, similarity)), "near-links")
     roots = materialize(components(near_links), "roots")
     root = lambda key, side: F.coalesce(F.col(f"r{side}"), F.col(key))
     ru, rv = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
-    edge = near.filter("kind = 'edge'").groupBy("key").agg(F.sum("n").alias("n"), F.min("u").alias("u"))
-    keys = near.filter("kind = 'key'").select("key", "n", "u").unionByName(edge)
-    several = materialize(keys.filter("n > 1").select("key", "n"), "several")
     held = several.join(values, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = materialize(held.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")), "classes")
     apart = materialize(_one_bit_apart(keys.select("key", F.when(F.col("n") == 1, F.col("u")).alias("node")), width), "values-met")
