@@ -38,7 +38,7 @@ _HEXTET = r"[0-9A-Fa-f]{1,4}"
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
 _TITLES = "|".join([*MALE, *FEMALE, "Dr", "Prof"])
-_NAME = r"\p{Lu}[\p{L}'-]{1,30}"
+_NAME = r"\p{Lu}[\p{L}'-]{1,30}(?![\p{L}\d])"
 _EMAIL = r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 #: Each alternative first looks at one character, as most places of a text begin none.
 _REST = "|".join(
