@@ -88,10 +88,11 @@ def links(fps: DataFrame) -> DataFrame:
     # Dealt out before it grows: adaptive planning would leave the few bytes of ``fps`` to a few tasks.
     index = fps.repartition(partitions(fps.sparkSession), "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     met = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(index.join(met, "key"), "buckets")
+    # Spark takes 64 rows a fingerprint for as few bytes as the fingerprint, and would broadcast them by the driver.
+    met = materialize(index.hint("merge").join(met, "key"), "buckets")
     few = met.filter(F.col("n") <= HEAVY)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
-    near = a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
+    near = a.hint("merge").join(b, "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
     many = met.filter(F.col("n") > HEAVY).select("fp").distinct()
     signed = many.repartition(partitions(fps.sparkSession), "fp").select("fp", F.explode(_signatures(F.col("fp"))).alias("s")).select("fp", "s.rest", "s.bits")
     stars = signed.groupBy("rest", "bits").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)

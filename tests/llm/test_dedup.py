@@ -66,6 +66,17 @@ def test_components_equal_brute_force(spark, monkeypatch, heavy):
     assert got == brute_components(f, ids)
 
 
+def test_variants_are_never_broadcast(spark, monkeypatch):
+    plans, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: plans.append(df) or write(df, label))
+    fps = write(spark.range(3000).selectExpr("id % 1000 * 3 fp").distinct(), "few")
+    plans.append(simhash.links(fps))
+    assert plans[-1].count() > 1000
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fingerprint_is_the_majority():
     import xxhash
 
