@@ -12,14 +12,15 @@ each value goes to two places, by either half; there its one-wildcard variants a
 values with the same half, which are few (at most 2 ** 13 of 26 bits), and nothing else is shuffled.
 
 Large groups of near copies are found first: values are put in order over the cluster, and each text is
-compared with its neighbours under a value, all of them where these are at most eight and the next two
+compared with its neighbours under a value, all of them where these are at most eight and the next one
 else; where they are more, also with the one among them that has met the most candidates, as edits of one
 text resemble it more than each other.  Whoever resembles another one of these (surely, by the bits, or, of
 the nearest and that one, by the shingles) is in one class with it.  Then every two texts
 that meet, under one value or two values a bit apart, and are not in one class by then, are compared.
-Within a meeting, texts of its largest class are not compared with each other and all others with
-everyone, in lanes of bounded size.  So a group of copies costs a few comparisons each, and no text
-stands for others.
+Of two values the one with more texts is the station, whose texts are held once, and the other's texts visit it.
+Texts of a station's largest class are not compared with visitors of that class, and all others with
+everyone, in lanes of bounded size; two texts that meet in several segments are compared in the first.  So a group
+of copies costs a few comparisons each, and no text stands for others.
 
 Candidates are pairs whose numbers of shingles allow the similarity and whose bits are at most three
 standard deviations beyond the distance expected at it; where the bits leave doubt, and for short
@@ -32,17 +33,18 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import math
 from functools import lru_cache, reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lanes, materialize, partitions, shielded, spread_join
 from .components import components
 
-#: Mixes of 64 bits and the segments' bits, up to 2**18 texts.
+#: Mixes of 64 bits and the segments' bits, up to 2**16 texts.
 MIXES, WIDTH, RECALL = 16, 26, 0.95
 BITS = 64 * MIXES
 #: Texts under a value that are all compared; shingles up to which only the shingles decide.
@@ -56,7 +58,7 @@ ROWS, AT_ONCE = 1 << 18, 255
 def shape(n: int, similarity: float) -> tuple[int, int]:
     """Bits of a segment, and mixes, for n texts."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = max(WIDTH, math.ceil(math.log2(max(n, 1))) + 8)
+    width = max(WIDTH, math.ceil(math.log2(max(n, 1))) + 10)
     met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     segments = math.ceil(math.log(1 - RECALL) / math.log(1 - met)) if met < 1 else 1
     return width, max(MIXES, -(-segments * width // 64))
@@ -215,7 +217,7 @@ def _neighbours(values: DataFrame) -> DataFrame:
             _, sizes = _runs(k)
             each, pairs = np.repeat(sizes, sizes), []
             for shift in range(1, min(SMALL, len(k))):
-                at = np.flatnonzero((k[shift:] == k[:-shift]) & ((each[shift:] <= SMALL) | (shift <= 2)))
+                at = np.flatnonzero((k[shift:] == k[:-shift]) & ((each[shift:] <= SMALL) | (shift == 1)))
                 at = at[at + shift >= t]
                 pairs.append((x[at], x[at + shift]))
             if pairs:
@@ -294,7 +296,7 @@ def _one_bit_apart(keys: DataFrame, width: int) -> DataFrame:
 
 def _with_both(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """pairs: u, v; a, b: a row for each u, and each v.  In lanes, as one text may be in very many pairs."""
-    n = lanes(pairs.sparkSession)
+    n = max(64, partitions(pairs.sparkSession) // 4)
     return spread_join(spread_join(pairs, "u", a, F.pmod(F.xxhash64("v"), F.lit(n))), "v", b, F.pmod(F.xxhash64("u"), F.lit(n)))
 
 
@@ -321,21 +323,39 @@ class _Test:
         return _with_both(pairs, a, b).filter(may).select("u", "v", d.alias("d"), sure.alias("sure"))
 
 
-def _meetings(met: DataFrame, values: DataFrame, roots: DataFrame, prints: DataFrame, test: _Test) -> DataFrame:
-    """met: distinct (a, b), keys that are equal or one bit apart.  Candidates of two classes that meet there."""
-    sides = met.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
-    own = sides.join(values, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(prints, "node")
-    own = materialize(own.select("a", "b", "key", "node", "root", "m", "f"), "meetings")
-    classes = own.groupBy("a", "b", "root").agg(F.count(F.lit(1)).alias("n"))
-    bulk = classes.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
-    bulk = bulk.select("a", "b", F.col("top.root").alias("bulk"), F.ceil((F.col("n") - F.col("top.n")) / LANE).cast("int").alias("lanes")).filter("lanes > 0")
-    x = own.join(bulk, ["a", "b"])
-    outside = x.filter("root <> bulk").select("a", "b", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int").alias("lane"), *[F.col(c).alias(f"{c}u") for c in ("key", "node", "root", "m", "f")])
-    everyone = x.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "bulk", *[F.col(c).alias(f"{c}v") for c in ("key", "node", "root", "m", "f")])
+def _bits_apart(fu: Column, fv: Column, i: Column, width: int) -> Column:
+    """In how many bits the i-th segments differ."""
+    at = i * F.lit(width)
+    word, shift = F.shiftright(at, 6), at.bitwiseAND(F.lit(63))
+    low = F.call_function("shiftrightunsigned", fu[word].bitwiseXOR(fv[word]), shift)
+    high = F.when(shift + F.lit(width) > 64, F.call_function("shiftleft", fu[word + 1].bitwiseXOR(fv[word + 1]), 64 - shift)).otherwise(F.lit(0).cast("long"))
+    return F.bit_count(low.bitwiseOR(high).bitwiseAND(F.lit((1 << width) - 1)))
+
+
+def _meetings(met: DataFrame, grouped: DataFrame, prints: DataFrame, test: _Test, width: int) -> DataFrame:
+    """Candidates of two classes that meet.
+
+    met: station and guest, distinct pairs of keys that are equal or one bit apart, and the guest's node and root where
+    it has one text; grouped: key, node and root of all keys with several.
+    """
+    held = materialize(met.select("station").distinct().join(grouped.withColumnRenamed("key", "station"), "station").join(prints, "node").select("station", "node", "root", "m", "f"), "residents")
+    classes = held.groupBy("station", "root").agg(F.count(F.lit(1)).alias("n"))
+    bulk = classes.groupBy("station").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    bulk = bulk.select("station", F.col("top.root").alias("bulk"), (F.col("n") > F.col("top.n")).alias("mixed"))
+    several = met.filter("node IS NULL").select("station", "guest").join(grouped.withColumnRenamed("key", "guest"), "guest").select("station", "guest", "node", "root")
+    come = met.filter("node IS NOT NULL").select("station", "guest", "node", "root").unionByName(several).join(bulk, "station")
+    # Who is of the bulk meets those who aren't; at its own station they meet it.
+    come = come.withColumn("all", F.col("root") != F.col("bulk")).filter(F.col("all") | (F.col("mixed") & (F.col("guest") != F.col("station"))))
+    come = materialize(come.join(prints, "node").select("station", "guest", "all", *[F.col(c).alias(f"{c}u") for c in ("node", "root", "m", "f")]), "visitors")
+    dealt = come.groupBy("station", "all").agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("lanes")).join(bulk.drop("mixed"), "station")
+    visitors = come.join(dealt.select("station", "all", "lanes"), ["station", "all"]).withColumn("lane", F.pmod(F.xxhash64("nodeu"), F.col("lanes")).cast("int")).drop("lanes")
+    there = held.join(dealt, "station").filter(F.col("all") | (F.col("root") != F.col("bulk")))
+    there = there.select("station", "all", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "bulk", *[F.col(c).alias(f"{c}v") for c in ("node", "root", "m", "f")])
     _, may, sure = test.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
-    apart = (F.col("a") == F.col("b")) | (F.col("keyu") != F.col("keyv"))
-    once = (F.col("rootv") == F.col("bulk")) | (F.col("nodeu") < F.col("nodev"))
-    found = outside.join(everyone, ["a", "b", "lane"]).filter(apart & (F.col("rootu") != F.col("rootv")) & once & may)
+    once = (F.col("guest") != F.col("station")) | (F.col("rootv") == F.col("bulk")) | (F.col("nodeu") < F.col("nodev"))
+    j = F.shiftright("station", width).cast("int")
+    first = F.when(j == 0, F.lit(True)).otherwise(F.forall(F.sequence(F.lit(0), j - 1), lambda i: _bits_apart(F.col("fu"), F.col("fv"), i, width) > 1))
+    found = visitors.join(there, ["station", "all", "lane"]).filter((F.col("rootu") != F.col("rootv")) & once & may & first)
     return found.select(F.least("nodeu", "nodev").alias("u"), F.greatest("nodeu", "nodev").alias("v"), sure.alias("sure"))
 
 
@@ -367,6 +387,21 @@ def _resembling(doubtful: DataFrame, texts: DataFrame, words: int, similarity: f
     return with_texts.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _both(pairs: DataFrame, *more: str) -> DataFrame:
+    return pairs.select("u", "v", *more).unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), *more))
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts that are used no more go once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _of_two_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    ru, rv = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    return pairs.join(ru, "u", "left").join(rv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(*pairs.columns)
+
+
 def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, width: int, mixes: int) -> DataFrame:
     """prints: distinct node, with m and f; texts: node, text.  u, v: links that connect what resembles each other."""
     test = _Test(similarity, mixes)
@@ -375,12 +410,11 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     first = materialize(test.of_pairs(near.filter("kind = 'pair'").select("u", "v").distinct(), prints), "near")
     edge = near.filter("kind = 'edge'").groupBy("key").agg(F.sum("n").alias("n"), F.min("u").alias("u"))
     keys = near.filter("kind = 'key'").select("key", "n", "u").unionByName(edge)
-    several = materialize(keys.filter("n > 1").select("key", "n"), "several")
+    grouped = materialize(keys.filter("n > 1").select("key", "n").join(values, "key"), "grouped")
     # A group of edits resembles its original more than each other: under a key of many, the text with
     # the most candidates so far meets all others.
-    both = lambda pairs, *more: pairs.select("u", "v", *more).unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), *more))
-    met_by = both(first).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("met"))
-    crowd = materialize(several.filter(F.col("n") > SMALL).select("key").join(values, "key").join(met_by, "node"), "crowds")
+    met_by = _both(first).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+    crowd = materialize(grouped.filter(F.col("n") > SMALL).select("key", "node").join(met_by, "node"), "crowds")
     heads = crowd.groupBy("key").agg(F.max(F.struct("met", "node")).alias("head"))
     lane = F.pmod(F.xxhash64("node"), F.lit(lanes(values.sparkSession)))
     led = spread_join(crowd.select("key", "node"), "key", heads, lane).groupBy("node").agg(F.max("head")["node"].alias("head")).filter("node <> head")
@@ -388,32 +422,35 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     # Classes that spare comparisons within large groups: of what is surely near, of each text's nearest
     # doubtful partner, and of who is led.
     first = first.unionByName(led).distinct()
-    ranked = both(first.filter("NOT sure"), "d").groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
-    nearest = ranked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(led.filter("NOT sure").select("u", "v")).distinct()
-    nearest = materialize(nearest, "nearest")
+    ranked = _both(first.filter("NOT sure"), "d").groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+    nearest = materialize(ranked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(led.filter("NOT sure").select("u", "v")).distinct(), "nearest")
     near_links = materialize(first.filter("sure").select("u", "v").unionByName(_resembling(nearest, texts, words, similarity)), "near-links")
     roots = materialize(components(near_links), "roots")
-    root = lambda key, side: F.coalesce(F.col(f"r{side}"), F.col(key))
-    ru, rv = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
-    held = several.join(values, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = materialize(held.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")), "classes")
+    rooted = lambda x: x.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = materialize(rooted(grouped), "grouped")
+    held = materialize(grouped.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")), "classes")
+    _tidy(values.sparkSession)
     apart = materialize(_one_bit_apart(keys.select("key", F.when(F.col("n") == 1, F.col("u")).alias("node")), width), "values-met")
     single = F.col("u").isNotNull() & F.col("v").isNotNull()
-    two = apart.filter(single).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    two = two.join(ru, "u", "left").join(rv, "v", "left").filter(root("u", "u") != root("v", "v")).select("u", "v")
+    two = _of_two_classes(apart.filter(single).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), roots)
     sides = apart.filter(~single).select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("u").alias("node")), F.struct(F.col("b").alias("key"), F.col("v").alias("node")))).alias("s"))
-    sides = sides.select("a", "b", "s.key", "s.node").join(held.drop("n"), "key", "left").join(roots, "node", "left")
-    own = F.coalesce("root", "node")
-    met = sides.groupBy("a", "b").agg(F.min(F.coalesce("least", own)).alias("least"), F.max(F.coalesce("most", own)).alias("most")).filter("least < most").select("a", "b")
+    sides = sides.select("a", "b", "s.key", "s.node")
+    one = rooted(sides.filter("node IS NOT NULL")).select("a", "b", "key", F.lit(1).cast("long").alias("n"), F.col("root").alias("least"), F.col("root").alias("most"), "node")
+    sides = sides.filter("node IS NULL").join(held, "key").select("a", "b", "key", "n", "least", "most", "node").unionByName(one)
+    met = sides.groupBy("a", "b").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.max(F.struct("n", "key"))["key"].alias("station"),
+        F.max("node").alias("node"), F.max(F.when(F.col("node").isNotNull(), F.col("least"))).alias("root"),
+    ).filter("least < most")
+    met = met.select("station", F.when(F.col("station") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("guest"), "node", "root")
     # Keys whose texts weren't all compared; two edges a partition at most.
     edges = near.filter("kind = 'edge'").select("key", F.lit(True).alias("edge")).distinct()
     alone = held.filter("least < most").join(F.broadcast(edges), "key", "left").filter((F.col("n") > SMALL) | F.col("edge"))
-    met = met.unionByName(alone.select(F.col("key").alias("a"), F.col("key").alias("b")))
-    found = test.of_pairs(two, prints).select("u", "v", "sure").unionByName(_meetings(met, values, roots, prints, test))
+    met = materialize(met.unionByName(alone.select(F.col("key").alias("station"), F.col("key").alias("guest"), *[F.lit(None).cast("long").alias(c) for c in ("node", "root")])), "met")
+    found = test.of_pairs(two, prints).select("u", "v", "sure").unionByName(_meetings(met, grouped.select("key", "node", "root"), prints, test, width))
     more = materialize(found.groupBy("u", "v").agg(F.max("sure").alias("sure")), "near")
+    _tidy(values.sparkSession)
     # Doubtful pairs of one class decide nothing; those looked at are decided.
-    left = first.filter("NOT sure").select("u", "v").join(nearest, ["u", "v"], "left_anti")
-    left = left.join(ru, "u", "left").join(rv, "v", "left").filter(root("u", "u") != root("v", "v")).select("u", "v")
+    left = _of_two_classes(first.filter("NOT sure").select("u", "v").join(nearest, ["u", "v"], "left_anti"), roots)
     doubtful = materialize(left.unionByName(more.filter("NOT sure").select("u", "v")).distinct(), "doubtful")
     known = roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more.filter("sure").select("u", "v"))
     return known.unionByName(_resembling(doubtful, texts, words, similarity))

@@ -106,3 +106,54 @@ def test_stars_in_equal_values_against_brute_force(spark):
 def test_stars_in_values_one_bit_apart_against_brute_force(spark):
     gone, n = lost(spark, stars(), 1)
     assert n > 150 and gone == 0
+
+
+def test_meetings_grow_with_the_texts():
+    """A text meets few others by chance where texts are five times as many; the asked similarity is still met."""
+    def chance(n):
+        width, mixes = neardup.shape(n, 0.8)
+        return n * (64 * mixes // width) * (width + 1) / 2**width
+
+    assert chance(210_000) < 2 and chance(210_000) < 2 * chance(42_000)
+    p = neardup.largest_distance(0.8) / neardup.BITS
+    for n in (1000, 210_000, 10**8):
+        width, mixes = neardup.shape(n, 0.8)
+        met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+        assert 1 - (1 - met) ** (64 * mixes // width) >= 0.95
+
+
+def test_pairs_that_meet_often_are_compared_once(spark, monkeypatch):
+    made, write = {}, neardup.materialize
+
+    def counted(df, label, *by):
+        out = write(df, label, *by)
+        made.setdefault(label, []).append(out.count())
+        return out
+
+    def meetings(*args, own=neardup._meetings):
+        found = write(own(*args), "found")
+        made["found"] = [found.count(), found.select("u", "v").distinct().count()]
+        return found
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    monkeypatch.setattr(neardup, "_meetings", meetings)
+    texts = star(random.Random(11), 400)[1:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert neardup.near_classes(df).count() > 200
+    rows, pairs = made["found"]
+    assert rows == pairs > 500
+    # A text is held once for each of its values, and visits others; no station's texts are repeated for a guest.
+    assert made["residents"][0] <= made["grouped"][-1]
+
+
+def test_bits_apart_against_numpy(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    for width, mixes in ((26, 16), (29, 26), (40, 70)):
+        f = rng.integers(0, 2**63, (2, mixes), dtype=np.uint64) * 2 + 1
+        n = 64 * mixes // width
+        want = np.bitwise_count(np.bitwise_xor(*neardup.segments_of(f, width))).tolist()
+        row = spark.createDataFrame([(f[0].view(np.int64).tolist(), f[1].view(np.int64).tolist())], "fu array<long>, fv array<long>")
+        got = row.select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: neardup._bits_apart(F.col("fu"), F.col("fv"), i, width)).alias("x")).first().x
+        assert got == want
