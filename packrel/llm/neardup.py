@@ -13,15 +13,21 @@ values with the same half, which are few (at most 2 ** 13 of 26 bits), and nothi
 
 Large groups of near copies are found first: values are put in order over the cluster, and each text is
 compared with its neighbours under a value, all of them where these are at most eight and the next one
-else; where they are more, also with the one among them that has met the most candidates, as edits of one
-text resemble it more than each other.  Whoever resembles another one of these (surely, by the bits, or, of
-the nearest and that one, by the shingles) is in one class with it.  Then every two texts
+else; where they are more, also with the one among them that has the fewest shingles of its own (below), and with
+that one's, as edits of one text resemble it more than each other.  Whoever resembles another one of these (surely,
+by the bits, or, of the nearest and those led to, by the shingles) is in one class with it.  Then every two texts
 that meet, under one value or two values a bit apart, and are not in one class by then, are compared.
 Of two values the one with more texts is the station, whose texts are held once, and the other's texts visit it.
 Texts of a station's largest class are not compared with visitors of that class, and all others with
 everyone, in lanes of bounded size; two texts that meet in several segments are compared in the first.  So a group
 of copies costs a few comparisons each, and no text stands for others.
 
+Edits that changed too much resemble nobody in such a group, but nearly do so with everyone.  So the shingles of
+all texts that stand under a value of more than eight, and of these only, are put in order over the cluster.  Those
+that at most eight of these texts hold are rare.  Two texts without a rare shingle in common share no more than the
+fewer common ones of the two; where these can't reach the similarity, the two need no comparison.  Any two with
+a rare shingle in common are compared, whether they meet or not: a few for each rare shingle.
+
 Candidates are pairs whose numbers of shingles allow the similarity and whose bits are at most three
 standard deviations beyond the distance expected at it; where the bits leave doubt, and for short
 texts always, the shingles themselves decide.
@@ -188,6 +194,61 @@ def _buffers(batches, columns: int):
         yield pa.Table.from_batches(held).combine_chunks().columns[:columns]
 
 
+def _crowd_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """texts: node, text.  key (a shingle's hash) and node of every shingle; zero for a text without words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = _shingle_hashes(text.as_py(), words).view(np.int64)
+                held.append((h if len(h) else np.zeros(1, np.int64), node))
+                n += len(held[-1][0])
+                if n >= ROWS:
+                    yield rows(pa, held)
+                    held, n = [], 0
+        if held:
+            yield rows(pa, held)
+
+    def rows(pa, held):
+        node = np.repeat(np.array([x for _, x in held], np.int64), [len(h) for h, _ in held])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in held])), pa.array(node)], ["key", "node"])
+
+    return texts.select("node", "text").mapInArrow(run, "key long, node long")
+
+
+def _rare(shingles: DataFrame) -> DataFrame:
+    """shingles: key, node.  n: how many rare shingles text u has, in parts; or, with v, two texts that share one.
+
+    A key at the edge of a buffer or partition may go on in another, and counts as common: that only leaves more to compare.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for key, node in _buffers(batches, 2):
+            key, node = key.to_numpy(), node.to_numpy()
+            new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # equal texts are one
+            key, node = key[new], node[new]
+            _, sizes = _runs(key)
+            rare = sizes <= SMALL
+            rare[[0, -1]] = False
+            rare = np.repeat(rare, sizes)
+            k, x = key[rare], node[rare]
+            if not len(k):
+                continue
+            u, n = np.unique(x, return_counts=True)
+            at = [(a, a + shift) for shift in range(1, SMALL) for a in [np.flatnonzero(k[shift:] == k[:-shift])]]
+            pairs = np.unique(np.concatenate([np.stack([x[a], x[b]], 1) for a, b in at]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(n)], ["u", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], ["u", "v", "n"])
+
+    ordered = shingles.repartitionByRange(partitions(shingles.sparkSession), "key", "node").sortWithinPartitions("key", "node")
+    return ordered.mapInArrow(run, "u long, v long, n long")
+
+
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the runs of equal keys begin, and their lengths."""
     starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
@@ -309,17 +370,21 @@ class _Test:
         deviation = math.sqrt(middle * (1 - middle / (64 * mixes)))
         self.loose, self.sure = int(middle + 3 * deviation), int(middle - 4 * deviation)
 
-    def measured(self, fu: Column, fv: Column, mu: Column, mv: Column) -> tuple[Column, Column, Column]:
-        """Distance, whether they may resemble each other, whether they surely do."""
-        d = _distance(fu, fv, self.mixes)
+    def measured(self) -> tuple[Column, Column, Column]:
+        """Distance, whether they may resemble each other, whether they surely do; of columns f, m and common of u and v."""
+        mu, mv = F.col("mu"), F.col("mv")
+        d = _distance(F.col("fu"), F.col("fv"), self.mixes)
         long = F.least(mu, mv) > SHORT
-        may = (F.least(mu, mv) >= F.greatest(mu, mv) * self.similarity) & ((d <= self.loose) | ~long)
+        # Unknown (null) unless both texts are of the crowds; rounding must not lose a pair at the very similarity.
+        enough = [F.col(c) * (1 + self.similarity) >= (mu + mv) * (self.similarity * (1 - 1e-9)) for c in ("commonu", "commonv")]
+        shared = F.col("commonu").isNull() | F.col("commonv").isNull() | (enough[0] & enough[1])
+        may = shared & (F.least(mu, mv) >= F.greatest(mu, mv) * self.similarity) & ((d <= self.loose) | ~long)
         return d, may, may & long & (d <= self.sure)
 
     def of_pairs(self, pairs: DataFrame, prints: DataFrame) -> DataFrame:
         """pairs: u, v.  Candidates, their distance, and whether they are sure."""
-        a, b = (prints.select(F.col("node").alias(x), F.col("m").alias(f"m{x}"), F.col("f").alias(f"f{x}")) for x in "uv")
-        d, may, sure = self.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
+        a, b = (prints.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("m", "f", "common")]) for x in "uv")
+        d, may, sure = self.measured()
         return _with_both(pairs, a, b).filter(may).select("u", "v", d.alias("d"), sure.alias("sure"))
 
 
@@ -338,7 +403,7 @@ def _meetings(met: DataFrame, grouped: DataFrame, prints: DataFrame, test: _Test
     met: station and guest, distinct pairs of keys that are equal or one bit apart, and the guest's node and root where
     it has one text; grouped: key, node and root of all keys with several.
     """
-    held = materialize(met.select("station").distinct().join(grouped.withColumnRenamed("key", "station"), "station").join(prints, "node").select("station", "node", "root", "m", "f"), "residents")
+    held = materialize(met.select("station").distinct().join(grouped.withColumnRenamed("key", "station"), "station").join(prints, "node").select("station", "node", "root", "m", "f", "common"), "residents")
     classes = held.groupBy("station", "root").agg(F.count(F.lit(1)).alias("n"))
     bulk = classes.groupBy("station").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
     bulk = bulk.select("station", F.col("top.root").alias("bulk"), (F.col("n") > F.col("top.n")).alias("mixed"))
@@ -346,12 +411,12 @@ def _meetings(met: DataFrame, grouped: DataFrame, prints: DataFrame, test: _Test
     come = met.filter("node IS NOT NULL").select("station", "guest", "node", "root").unionByName(several).join(bulk, "station")
     # Who is of the bulk meets those who aren't; at its own station they meet it.
     come = come.withColumn("all", F.col("root") != F.col("bulk")).filter(F.col("all") | (F.col("mixed") & (F.col("guest") != F.col("station"))))
-    come = materialize(come.join(prints, "node").select("station", "guest", "all", *[F.col(c).alias(f"{c}u") for c in ("node", "root", "m", "f")]), "visitors")
+    come = materialize(come.join(prints, "node").select("station", "guest", "all", *[F.col(c).alias(f"{c}u") for c in ("node", "root", "m", "f", "common")]), "visitors")
     dealt = come.groupBy("station", "all").agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("lanes")).join(bulk.drop("mixed"), "station")
     visitors = come.join(dealt.select("station", "all", "lanes"), ["station", "all"]).withColumn("lane", F.pmod(F.xxhash64("nodeu"), F.col("lanes")).cast("int")).drop("lanes")
     there = held.join(dealt, "station").filter(F.col("all") | (F.col("root") != F.col("bulk")))
-    there = there.select("station", "all", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "bulk", *[F.col(c).alias(f"{c}v") for c in ("node", "root", "m", "f")])
-    _, may, sure = test.measured(F.col("fu"), F.col("fv"), F.col("mu"), F.col("mv"))
+    there = there.select("station", "all", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "bulk", *[F.col(c).alias(f"{c}v") for c in ("node", "root", "m", "f", "common")])
+    _, may, sure = test.measured()
     once = (F.col("guest") != F.col("station")) | (F.col("rootv") == F.col("bulk")) | (F.col("nodeu") < F.col("nodev"))
     j = F.shiftright("station", width).cast("int")
     first = F.when(j == 0, F.lit(True)).otherwise(F.forall(F.sequence(F.lit(0), j - 1), lambda i: _bits_apart(F.col("fu"), F.col("fv"), i, width) > 1))
@@ -407,18 +472,32 @@ def links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, wi
     test = _Test(similarity, mixes)
     values = materialize(_values(prints, width), "segment-values")
     near = materialize(_neighbours(values), "neighbours", "kind")
-    first = materialize(test.of_pairs(near.filter("kind = 'pair'").select("u", "v").distinct(), prints), "near")
     edge = near.filter("kind = 'edge'").groupBy("key").agg(F.sum("n").alias("n"), F.min("u").alias("u"))
     keys = near.filter("kind = 'key'").select("key", "n", "u").unionByName(edge)
     grouped = materialize(keys.filter("n > 1").select("key", "n").join(values, "key"), "grouped")
-    # A group of edits resembles its original more than each other: under a key of many, the text with
-    # the most candidates so far meets all others.
+    # What the texts of crowds have in common, at most; who shares a rare shingle is looked at by itself.
+    crowd = grouped.filter(F.col("n") > SMALL).select("key", "node")
+    many = materialize(crowd.select("node").distinct(), "crowd-texts")
+    rare = materialize(_rare(materialize(_crowd_shingles(texts.join(many, "node", "left_semi"), words), "crowd-shingles")), "rare")
+    counts = many.join(rare.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("rare")), "node", "left").fillna(0)
+    plain = prints.withColumn("common", F.lit(None).cast("long"))
+    prints = materialize(prints.join(counts, "node", "left").withColumn("common", F.col("m") - F.col("rare")).drop("rare"), "prints")
+    kin = test.of_pairs(rare.filter("v IS NOT NULL").select("u", "v").distinct(), plain)
+    first = materialize(test.of_pairs(near.filter("kind = 'pair'").select("u", "v").distinct(), prints).unionByName(kin).distinct(), "near")
+    # A group of edits resembles its original more than each other: under a key of many, the text with the
+    # largest share of common shingles meets all others, and so do its own head and that one's.
     met_by = _both(first).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("met"))
-    crowd = materialize(grouped.filter(F.col("n") > SMALL).select("key", "node").join(met_by, "node"), "crowds")
-    heads = crowd.groupBy("key").agg(F.max(F.struct("met", "node")).alias("head"))
+    standing = prints.filter("common IS NOT NULL").join(met_by, "node", "left")
+    standing = standing.select("node", F.struct((F.col("common") / F.col("m")).alias("share"), F.coalesce("met", F.lit(0)).alias("met"), "node").alias("rank"))
+    crowd = materialize(crowd.join(standing, "node"), "crowds")
+    heads = crowd.groupBy("key").agg(F.max("rank").alias("head"))
     lane = F.pmod(F.xxhash64("node"), F.lit(lanes(values.sparkSession)))
-    led = spread_join(crowd.select("key", "node"), "key", heads, lane).groupBy("node").agg(F.max("head")["node"].alias("head")).filter("node <> head")
-    led = materialize(test.of_pairs(led.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct(), prints), "led")
+    led = [materialize(spread_join(crowd.select("key", "node"), "key", heads, lane).groupBy("node").agg(F.max("head")["node"].alias("head")), "heads")]
+    for _ in range(2):
+        above = led[-1].select(F.col("node").alias("head"), F.col("head").alias("above"))
+        led.append(materialize(spread_join(led[-1], "head", above, lane).select("node", F.col("above").alias("head")), "heads"))
+    led = reduce(DataFrame.unionByName, led).filter("node <> head").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+    led = materialize(test.of_pairs(led, prints), "led")
     # Classes that spare comparisons within large groups: of what is surely near, of each text's nearest
     # doubtful partner, and of who is led.
     first = first.unionByName(led).distinct()

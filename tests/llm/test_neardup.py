@@ -157,3 +157,62 @@ def test_bits_apart_against_numpy(spark):
         row = spark.createDataFrame([(f[0].view(np.int64).tolist(), f[1].view(np.int64).tolist())], "fu array<long>, fv array<long>")
         got = row.select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: neardup._bits_apart(F.col("fu"), F.col("fv"), i, width)).alias("x")).first().x
         assert got == want
+
+
+def test_edits_below_the_similarity_are_not_compared_with_a_whole_group(spark, monkeypatch):
+    """Texts that nearly resemble a group, but none of it, and some that resemble each other there by edits of their own."""
+    looked, write = [], neardup.materialize
+
+    def counted(df, label, *by):
+        out = write(df, label, *by)
+        if label in ("doubtful", "nearest"):
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    rng = random.Random(21)
+    base = words(rng, 250)
+
+    def edit(text, n):
+        own = list(text)
+        for at in rng.sample(range(len(own)), n):
+            own[at] = f"x{rng.randrange(10**6)}"
+        return own
+
+    group = [base] + [edit(base, rng.randrange(1, 4)) for _ in range(250)]
+    below = [edit(base, 7) for _ in range(60)]
+    twins = [edit(x, 1) for x in below[:5]]
+    texts = [" ".join(x) for x in group + below + twins] + ["", " ", "\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    of = dict(df.selectExpr("doc_id", "xxhash64(text)").collect())
+    root = {r.text_key: r["class"] for r in neardup.near_classes(df).collect()}
+    n = len(group)
+    assert len({root[of[i]] for i in range(n)}) == 1
+    assert all(of[i] not in root for i in range(n + 5, n + 60) if max(similarity(texts[i], t) for j, t in enumerate(texts[:-3]) if j != i) < 0.8)
+    assert all(root[of[n + i]] == root[of[n + 60 + i]] for i in range(5))
+    assert len({root[of[i]] for i in range(len(texts) - 3, len(texts))}) == 1
+    assert sum(looked) < 6 * len(texts)
+
+
+@pytest.mark.parametrize("rows", [1 << 18, 50])
+def test_rare_and_common_shingles_against_sets(spark, monkeypatch, rows):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "ROWS", rows)  # buffers that end within runs
+    rng = random.Random(22)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(40)] + ["", " "]
+    texts = dict(enumerate([*texts, *star(rng, 20, 60)]))
+    df = spark.createDataFrame([*texts.items(), (0, texts[0])], "node long, text string").repartition(3)
+    got = neardup._rare(neardup._crowd_shingles(df, 5)).collect()
+    kin = {(r.u, r.v) for r in got if r.v is not None}
+    few = {}
+    for r in got:
+        if r.v is None:
+            few[r.u] = few.get(r.u, 0) + r.n
+    sets = {k: neardup._shingles(t, 5) for k, t in texts.items()}
+    held = {x: [k for k in sets if x in sets[k]] for s in sets.values() for x in s}
+    assert all(few.get(k, 0) <= sum(len(held[x]) <= 2 for x in s) for k, s in sets.items())
+    assert kin <= {tuple(h) for h in held.values() if len(h) == 2} and all(u < v for u, v in kin)
+    apart = [(u, v) for u in sets for v in sets if u < v and (u, v) not in kin]
+    assert all(len(sets[u] & sets[v]) <= min(len(sets[x]) - few.get(x, 0) for x in (u, v)) for u, v in apart)
+    if rows > 50:
+        assert kin and sum(few.values()) > 100
