@@ -28,11 +28,20 @@ def hardlink_targets(entries: DataFrame) -> DataFrame:
 
 
 def below_symlink(entries: DataFrame) -> DataFrame:
-    """Entries of which an ancestor is an earlier symlink of the archive."""
-    links = entries.filter("entry_type = 'Symlink'").select("archive", P.normalized(F.col("path")).alias("__up"), F.col("entry_idx").alias("__link_idx"))
-    above = entries.select("archive", "entry_idx", F.explode(P.parents(F.col("path"))).alias("__up"))
-    hit = above.join(links, ["archive", "__up"]).filter("__link_idx < entry_idx").select("archive", "entry_idx").distinct()
-    return entries.join(hit, ["archive", "entry_idx"], "left_semi")
+    """Entries of which an ancestor is an earlier symlink of the archive.
+
+    Of a path's ancestors only those at depths where some symlink stands are looked up, and of symlinks
+    with one path only the first, so that neither long paths nor repeated links multiply rows.
+    """
+    links = entries.filter("entry_type = 'Symlink'").groupBy("archive", P.normalized(F.col("path")).alias("__up")).agg(F.min("entry_idx").alias("__link_idx"))
+    depths = links.agg(F.collect_set(F.size(P.components(F.col("__up")))).alias("__depths"))
+    above = entries.select("archive", "entry_idx", P.components(F.col("path")).alias("__parts")).crossJoin(F.broadcast(depths))
+    at = F.filter("__depths", lambda n: (n > 0) & (n < F.size("__parts")))
+    above = above.select("archive", "entry_idx", F.explode(F.transform(at, lambda n: F.array_join(F.slice("__parts", F.lit(1), n), "/"))).alias("__up"))
+    hit = above.join(links, ["archive", "__up"]).filter("__link_idx < entry_idx").select(F.col("archive").alias("__a"), F.col("entry_idx").alias("__i"), "__up")
+    # By path too: entries that share archive and entry_idx are told apart.
+    same = (F.col("archive") == F.col("__a")) & (F.col("entry_idx") == F.col("__i"))
+    return entries.join(hit, same & F.startswith(P.normalized(F.col("path")), F.concat("__up", F.lit("/"))), "left_semi")
 
 
 def resolve_symlinks(entries: DataFrame, rounds: int = 40) -> DataFrame:
@@ -42,7 +51,8 @@ def resolve_symlinks(entries: DataFrame, rounds: int = 40) -> DataFrame:
     until it isn't.  A chain that leaves the root, or is longer than ``rounds`` (a loop), is
     escaped.  Each round is an equality join on the links that still move.
     """
-    joined = F.when(F.size(P.components(F.col("path"))) > 1, F.concat(P.parents(F.col("path"))[F.size(P.parents(F.col("path"))) - 1], F.lit("/"))).otherwise("")
+    parts = P.components(F.col("path"))
+    joined = F.when(F.size(parts) > 1, F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/"), F.lit("/"))).otherwise("")
     links = entries.filter("entry_type = 'Symlink'").select("archive", "entry_idx", "path", F.concat(joined, F.col("symlink_target")).alias("at"), P.is_absolute(F.col("symlink_target")).alias("out"))
 
     def settle(x):

@@ -121,6 +121,15 @@ def test_symlink_chains(spark):
     assert [r.path for r in joins.below_symlink(e).collect()] == ["a/z"]
 
 
+def test_below_symlink_of_long_paths_and_shared_indices(spark):
+    link = {"entry_type": "Symlink", "symlink_target": "t"}
+    e = entries(spark, [
+        {"entry_idx": 1, "path": "a/b", **link}, {"entry_idx": 5, "path": "./a//b", **link}, {"entry_idx": 4, "path": "c", **link}, {"entry_idx": 2, "path": "a/" * 60_000 + "x"},
+        {"entry_idx": 3, "path": "a/b/" * 30_000 + "y"}, {"entry_idx": 0, "path": "a/b/early"}, {"entry_idx": 3, "path": "a/bc/z"}, {"entry_idx": 3, "path": "c/early"}, {"entry_idx": 6, "path": "c/./late"},
+    ])
+    assert sorted((r.entry_idx, r.path[:8]) for r in joins.below_symlink(e).collect()) == [(3, "a/b/a/b/"), (6, "c/./late")]
+
+
 def test_hardlinks_and_dedup(spark):
     e = entries(spark, [{"entry_idx": 0, "path": "./f", "size": 7}, {"entry_idx": 1, "path": "f", "size": 9}, {"entry_idx": 2, "path": "h", "entry_type": "Hardlink", "hardlink_target": "f"}, {"entry_idx": 3, "path": "i", "entry_type": "Hardlink", "hardlink_target": "no"}])
     got = {r.path: (r.target_idx, r.error and r.error.code) for r in joins.hardlink_targets(e).collect()}
