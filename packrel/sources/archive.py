@@ -1,8 +1,9 @@
 """Spark readers of archives.
 
-``read_archives`` goes through Spark's binaryFile reader, so that any store that Spark reads will do;
-an archive is one row there (2 GB at most).  The ``archive`` data source opens files itself,
-one partition an archive, and streams archives of any size from a shared file system.
+``read_archives`` lists through Spark's binaryFile reader, so that any store that Spark reads will do.
+On a shared file system tasks then open the archives themselves, of any size, and hold a piece at a time;
+elsewhere an archive is one row (2 GB at most).  The ``archive`` data source opens files itself too,
+one partition an archive.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def read_archives(spark: SparkSession, path: str, with_content: bool = False, bu
     frames = []
     if local is None or skipped is None or not skipped[1]:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-        frames.append(entries_of_files(files, with_content, budget))
+        opened = local is not None and _scheme(spark, path) == "file"
+        frames.append(entries_of_paths(files, with_content, budget) if opened else entries_of_files(files, with_content, budget))
     if skipped and skipped[0]:
         names = spark.createDataFrame([(x,) for x in skipped[0]], "path string").repartition(min(len(skipped[0]), 1000), "path")
         frames.append(entries_of_paths(names, with_content, budget))
@@ -99,6 +101,11 @@ def read_archives(spark: SparkSession, path: str, with_content: bool = False, bu
     return out
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    """Of the store that Spark takes the path for."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
 def _skipped(spark: SparkSession, path: str, local: str | None, recursive: bool):
     """Files that Spark's reader would leave out, and whether these are all there are; None if there are none."""
     if local is None:
@@ -133,11 +140,12 @@ def _skipped(spark: SparkSession, path: str, local: str | None, recursive: bool)
 
 
 def entries_of_paths(files: DataFrame, with_content: bool = False, budget: int = 4 << 20) -> DataFrame:
-    """files: path, on a file system that tasks share."""
+    """files: path, on a file system that tasks share, with or without file: before it."""
 
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
+                path = local_path(path) or path
                 with open(path, "rb") as f:
                     yield from _batches(scan(f"file:{path}", f, budget, with_content), with_content)
 

@@ -14,7 +14,7 @@ from packrel.__main__ import main
 from packrel.config import CreationConfig, ExtractionOptions, InvalidConfiguration, SecurityConfig
 from packrel.sources.archive import read_archives, register
 from packrel.sources.detect import format_of_bytes, format_of_name
-from packrel.sources.scan import scan
+from packrel.sources.scan import ZipDirectory, scan
 from packrel.sources.writer import create_archives
 from packrel.streaming.arrivals import verify_arrivals
 
@@ -70,6 +70,33 @@ def test_data_source_equals_binary_reader(spark, tree, tmp_path):
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() == 5
 
 
+def test_archives_are_opened_not_held(spark, tree, tmp_path):
+    out = str(tmp_path / "a b%20.zip")
+    api.create_archive(spark, out, [str(tree)])
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # longer files can't be rows
+    try:
+        got = read_archives(spark, str(tmp_path / "a*.zip"), with_content=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {r.archive for r in got} == {f"file:{out}"} and sum(len(r.content or b"") for r in got) == 5500
+
+
+def test_zip_directory_equals_zipfile():
+    whole = io.BytesIO(b"before")
+    with zipfile.ZipFile(whole, "a") as z:
+        for k in range(4):
+            z.writestr(f"é{k}", b"x" * 50)
+        z.filelist[2].header_offset = z.filelist[1].header_offset  # two entries at one place
+    for data in (whole.getvalue(), whole.getvalue()[:-60], whole.getvalue().replace(b"PK\x01\x02", b"PK\x01\x03", 1)):
+        found = []
+        for kind, entries in ((zipfile.ZipFile, zipfile.ZipFile.infolist), (ZipDirectory, ZipDirectory.entries)):
+            try:
+                found.append([(i.filename, i.header_offset, i._end_offset, i.file_size, i.date_time, i.CRC) for i in entries(kind(io.BytesIO(data)))])
+            except zipfile.BadZipFile as e:
+                found.append(str(e))
+        assert found[0] == found[1]
+
+
 def test_traversal_is_refused(spark, tmp_path):
     p = tar(tmp_path / "x.tar", ("ok.txt", tarfile.REGTYPE, b"1"), ("../evil", tarfile.REGTYPE, b"2"), ("late.txt", tarfile.REGTYPE, b"3"))
     with pytest.raises(api.ArchiveError) as e:
