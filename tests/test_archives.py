@@ -4,6 +4,7 @@ import io
 import os
 import struct
 import tarfile
+import tracemalloc
 import zipfile
 import zlib
 
@@ -15,7 +16,7 @@ from packrel.config import CreationConfig, ExtractionOptions, InvalidConfigurati
 from packrel.sources.archive import read_archives, register
 from packrel.sources.detect import format_of_bytes, format_of_name
 from packrel.sources.scan import ZipDirectory, scan
-from packrel.sources.writer import create_archives
+from packrel.sources.writer import create_archives, write_archive
 from packrel.streaming.arrivals import verify_arrivals
 
 
@@ -81,6 +82,28 @@ def test_archives_are_opened_not_held(spark, tree, tmp_path):
     assert {r.archive for r in got} == {f"file:{out}"} and sum(len(r.content or b"") for r in got) == 5500
 
 
+@pytest.mark.parametrize("ext", ["tar"])
+def test_memory_does_not_grow_with_entries(tmp_path, ext):
+    def most(work, n):
+        tracemalloc.start()
+        work(n)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    def write(n):
+        rows = ({"archive_path": f"{k}.txt", "entry_type": "File", "content": b"x"} for k in range(n))
+        assert write_archive(str(tmp_path / f"{n}.{ext}"), rows, CreationConfig()).files_added == n
+
+    def read(n):
+        with open(tmp_path / f"{n}.{ext}", "rb") as f:
+            assert sum(r["scan_error"] is None for r in scan(f"x.{ext}", f, with_content=True)) == n
+
+    for work in (write, read):
+        work(10)
+        assert most(work, 12_000) < 2 << 20
+
+
 def test_zip_directory_equals_zipfile():
     whole = io.BytesIO(b"before")
     with zipfile.ZipFile(whole, "a") as z:
