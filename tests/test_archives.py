@@ -82,7 +82,7 @@ def test_archives_are_opened_not_held(spark, tree, tmp_path):
     assert {r.archive for r in got} == {f"file:{out}"} and sum(len(r.content or b"") for r in got) == 5500
 
 
-@pytest.mark.parametrize("ext", ["tar"])
+@pytest.mark.parametrize("ext", ["zip", "tar"])
 def test_memory_does_not_grow_with_entries(tmp_path, ext):
     def most(work, n):
         tracemalloc.start()
